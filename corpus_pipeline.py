@@ -1,11 +1,23 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline of five stages over ``documents``.
+
+Each stage takes (spark, docs, sf_dir); docs is what its predecessor kept. All but the last return the columns
+of documents. Rows of empty tables, null texts and null ids pass or go as each operator's docstring defines.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wardstone.llm import exact_dedup, near_dedup
+from wardstone.llm import bpe, exact_dedup, lang_id, mixing, near_dedup
 from wardstone.llm._store import written
+from wardstone.llm.queries import TARGETS
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that have no letter, or whose nearest language scores under 0.4."""
+    return lang_id.accepted(docs, lang_id.learn(docs, F.lit(True)), least=0.4)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +30,26 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.distinct(docs, percent=80)
 
 
-STAGES = [("exact dedup", exact_stage), ("MinHash near-dedup", near_stage)]
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of domains beyond their target go by chance, by their fitted rate; none is repeated."""
+    model = mixing.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rates = mixing.mix(docs, model, TARGETS)
+    gone = rates.filter(mixing.copies(F.col("rate"), F.col("doc_id")) < 1).select(F.col("doc_id").alias("mx_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["mx_gone"], "left_anti")
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids themselves."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True)
+
+
+STAGES = [
+    ("language ID", language_stage),
+    ("exact dedup", exact_stage),
+    ("MinHash near-dedup", near_stage),
+    ("mixing to target weights", mixing_stage),
+    ("byte-level BPE", bpe_stage),
+]
 
 #: Models and a byte-pair encoding can't be expressed in SQL.
 ORACLE_SQL = None
@@ -27,5 +58,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"stage{k}") if k < len(STAGES) - 1 else stage(spark, docs, sf_dir)
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage{k}")
     return docs
