@@ -32,7 +32,7 @@ from ._bytes import U64
 from ._pieces import text_blocks
 from ._store import ship
 
-WIDTH = 1 << 13
+WIDTH = 1 << 12
 ORDERS = (1, 2, 3)
 #: Bytes that are no letter count as a space.
 _FOLD = bytes(b if (97 <= b <= 122 or b >= 128) else 32 for b in range(256))
@@ -51,7 +51,7 @@ def features(text: str) -> np.ndarray:
                 for k in range(n):
                     h = h * U64(257) + part[k : len(part) - n + 1 + k] + U64(1)
                 h *= U64(0x9E3779B97F4A7C15)
-                out += np.bincount((h >> U64(51)).astype(np.int64), minlength=WIDTH)
+                out += np.bincount((h >> U64(52)).astype(np.int64), minlength=WIDTH)
     np.sqrt(out, out=out)
     return out / max(float(np.linalg.norm(out)), 1e-9)
 
@@ -120,7 +120,7 @@ class Model:
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, texts in text_blocks(batch.column(1), 1 << 20):
-            x = [features(t).tobytes() for t in texts]
+            x = [features(t).astype(np.float16).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(x, pa.binary())], ["lang", "x"])
 
 
@@ -145,7 +145,10 @@ def learn(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "l
         return None
     langs = got.column("lang").to_pylist()
     known = sorted(set(langs))
-    x = np.stack([np.frombuffer(v.as_buffer(), np.float32) for v in got.column("x")])
+    x = np.empty((len(langs), WIDTH), np.float32)
+    for k, v in enumerate(got.column("x")):
+        x[k] = np.frombuffer(v.as_buffer(), np.float16)
+    del got
     return Model(known, x, np.array([known.index(v) for v in langs]))
 
 
