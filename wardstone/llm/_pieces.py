@@ -1,8 +1,10 @@
-"""Splitting texts where no token can cross, and remembering what each part gives.
+"""Splitting texts where no token can cross, and remembering what each piece gives.
 
-The split pattern of byte-level BPE glues a single space to what follows it. So a text may be cut
-before each space whose neighbours are both no white space: the tokens of the text are then those of
-the parts. Parts repeat, so a worker keeps what it found for them in a table of bounded size.
+Tokens never cross the matches of a byte-level tokenizer's split pattern. These pieces repeat, so a worker
+keeps what it found for them in a table of bounded size.
+
+The pattern glues a single space to what follows it. So a text may also be cut before each space whose
+neighbours are both no white space, and each part be split by itself.
 """
 
 from __future__ import annotations
@@ -12,8 +14,8 @@ from collections.abc import Callable, Iterator
 
 #: A space beside white space, where a part can't simply be cut.
 _ODD = re.compile(r"\s | \s")
-#: Parts that a worker remembers; the table is emptied beyond, which costs time only.
-MOST = 400_000
+#: Pieces that a worker remembers; beyond, those of the present block stay, which costs time only.
+MOST = 800_000
 
 
 def parts(text: str) -> list[str]:
@@ -33,21 +35,25 @@ def parts(text: str) -> list[str]:
 
 
 class Remembered:
-    """part -> value, found for all new parts of a block of texts at once."""
+    """piece -> value, found for all new pieces of a block of texts at once."""
 
-    def __init__(self, find: Callable[[list[str]], list], most: int = MOST):
-        self.find, self.most, self.seen = find, most, {}
+    def __init__(self, split: Callable[[str], list[str]], find: Callable[[list[str]], list], most: int = MOST):
+        self.split, self.find, self.most, self.seen = split, find, most, {}
 
-    def __call__(self, texts: list[str]) -> Iterator[map]:
-        """For each text, the values of its parts."""
-        if len(self.seen) > self.most:
-            self.seen.clear()
-        split = [parts(t) for t in texts]
-        new = [p for p in set().union(*split) if p not in self.seen]
+    def known(self, wanted: set) -> dict:
+        """The table, with at least all that is wanted."""
+        new = [p for p in wanted if p not in self.seen]
+        if len(self.seen) + len(new) > self.most:
+            self.seen = {p: self.seen[p] for p in wanted if p in self.seen}
         for k in range(0, len(new), 1 << 16):
             some = new[k : k + (1 << 16)]
             self.seen.update(zip(some, self.find(some), strict=True))
-        get = self.seen.__getitem__
+        return self.seen
+
+    def __call__(self, texts: list[str]) -> Iterator[map]:
+        """For each text, the values of its pieces."""
+        split = list(map(self.split, texts))
+        get = self.known(set().union(*split)).__getitem__
         for p in split:
             yield map(get, p)
 

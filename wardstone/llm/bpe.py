@@ -50,7 +50,7 @@ class Coder:
                     pairs[a << self.bits | b] = i
         self.pairs = pairs
         self._table(np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)))
-        self.remembered = Remembered(self._parts)
+        self.remembered = Remembered(self.find, self._pieces)
 
     def _table(self, keys: np.ndarray, ids: np.ndarray) -> None:
         size = 1 << max(10, (8 * len(keys)).bit_length())
@@ -159,11 +159,8 @@ class Coder:
                     out[k] = ids
         return out
 
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        split = [[p.encode() for p in self.find(x)] for x in parts]
-        new = list(set().union(*split))
-        ids = {p: v.astype("<u4").tobytes() for p, v in zip(new, self.encode_pieces(new), strict=True)}
-        return [b"".join(map(ids.__getitem__, s)) for s in split]
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        return [v.astype("<u4").tobytes() for v in self.encode_pieces([p.encode() for p in pieces])]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""

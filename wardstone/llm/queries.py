@@ -33,7 +33,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    manifest = token_files.write(docs, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    manifest = token_files.write(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, public_tokenizers.PATTERN)
     return token_files.read(manifest, docs.schema["doc_id"].dataType)
 
 

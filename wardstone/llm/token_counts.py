@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._pieces import Remembered, text_blocks
+from ._pieces import Remembered, parts, text_blocks
 from ._store import ship
 
 END = 1 << 30
+_RUN = re.compile(r"\s\s")
 
 
 def byte_letters() -> dict[str, int]:
@@ -56,7 +59,12 @@ class Counter:
         self.ids = {raw(t): i for t, i in ids.items()}
         self.pattern = regex.compile(pattern)
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.longest = max(map(len, self.ids))
+        self.ends: dict = {}
+        for t, i in self.ids.items():
+            at = self.ends
+            for b in reversed(t):
+                at = at.setdefault(b, {})
+            at[-1] = i
         self.rank, self.halves, self.formed = {}, {}, {}
         for r, m in enumerate(spec["model"]["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
@@ -65,10 +73,16 @@ class Counter:
             if t not in self.halves:
                 self.halves[t], self.formed[t] = (a, b), r
         self.edges: dict[tuple[int, int], list] = {}
-        self.beside: dict[tuple[int, int], bool] = {}
+        self.beside: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
-        self.memo: dict[bytes, tuple[tuple, tuple]] = {}
-        self.remembered = Remembered(self._parts)
+        self._forget()
+        self.pieces = Remembered(self.pattern.findall, self._pieces)
+        self.parts = Remembered(parts, self._parts, 100_000)
+
+    def _forget(self) -> None:
+        """Prefixes as a tree: (node, byte) -> node; of each node its last token and its count. Node 0 is empty."""
+        self.tree: dict[int, int] = {}
+        self.last, self.count = [-1], [0]
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens along one edge of a token's merge tree, each with the rank of the merge that takes it up."""
@@ -86,7 +100,7 @@ class Counter:
 
     def _may_follow(self, a: int, b: int) -> bool:
         """Whether a and b can stand side by side: no merge of a right edge of a with a left edge of b comes first."""
-        key = (a, b)
+        key = a << 24 | b
         ok = self.beside.get(key)
         if ok is None:
             ok = True
@@ -122,39 +136,36 @@ class Counter:
                     return False
         return True
 
-    def piece(self, piece: bytes) -> tuple:
+    def piece(self, piece: bytes) -> list[int]:
         """The token count at each byte of a piece (after one byte, after two, ...)."""
-        memo, n = self.memo, len(piece)
-        e = n if n <= 64 else 0
-        while e and piece[:e] not in memo:
-            e -= 1
-        if e == n:
-            return memo[piece][0]
-        count, last = (list(x) for x in memo[piece[:e]]) if e else ([], [])
-        ids, longest, beside = self.ids, self.longest, self.beside
-        while e < n:
-            e += 1
-            for s in range(max(0, e - longest), e):
-                t = ids.get(piece[s:e])
-                if t is None:
-                    continue
-                if s == 0:
-                    if self._is_whole(t):
-                        count.append(1)
-                        last.append(t)
-                        break
-                else:
-                    a = last[s - 1]
-                    ok = beside.get((a, t))
-                    if ok or (ok is None and self._may_follow(a, t)):
-                        count.append(count[s - 1] + 1)
-                        last.append(t)
-                        break
-            if e <= 64:
-                memo[piece[:e]] = tuple(count), tuple(last)
-        if len(memo) > 300_000:
-            memo.clear()
-        return tuple(count)
+        if len(self.last) > 400_000:
+            self._forget()
+        tree, last, count, beside = self.tree, self.last, self.count, self.beside
+        node, path = 0, [0]
+        for e, b in enumerate(piece):
+            key = node << 8 | b
+            node = tree.get(key, 0)
+            if not node:
+                at, s = self.ends, e
+                while True:
+                    at = at.get(piece[s])
+                    t = at.get(-1)
+                    if t is not None:
+                        if s == 0:
+                            if self._is_whole(t):
+                                break
+                        else:
+                            a = last[path[s]]
+                            ok = beside.get(a << 24 | t)
+                            if ok or (ok is None and self._may_follow(a, t)):
+                                break
+                    s -= 1
+                node = len(last)
+                last.append(t)
+                count.append(count[path[s]] + 1)
+                tree[key] = node
+            path.append(node)
+        return [count[k] for k in path[1:]]
 
     def _whole(self, text: str) -> int:
         return sum(self.piece(p.encode())[-1] for p in self.pattern.findall(text))
@@ -212,13 +223,42 @@ class Counter:
         self._plain(text[at:], base, out)
         return out
 
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        return [np.diff(np.array(self.counts(p), np.int32), prepend=np.int32(0)).tobytes() for p in parts]
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The steps between the counts at each character of single pieces."""
+        out = []
+        for p in pieces:
+            if p[0] == "'":
+                out.append(self._steps(p))
+                continue
+            raw = p.encode()
+            own = self.piece(raw)
+            if len(raw) != len(p):
+                at, ends = 0, []
+                for c in p:
+                    at += len(c.encode())
+                    ends.append(own[at - 1])
+                own = ends
+            out.append(array("i", map(sub, own, [0, *own[:-1]])).tobytes())
+        return out
+
+    def _steps(self, text: str) -> bytes:
+        own = self.counts(text)
+        return array("i", map(sub, own, [0, *own[:-1]])).tobytes()
+
+    def _parts(self, some: list[str]) -> list[bytes]:
+        return [self._steps(p) for p in some]
 
     def prefixes(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """For each text, the token count at every prefix: entry i is that of the first i characters."""
-        for found in self.remembered(texts):
-            steps = np.frombuffer(b"".join(found), np.int32)
+        """For each text, the token count at every prefix: entry i is that of the first i characters.
+
+        In most texts the steps are those of their pieces, one after the other. Texts with longer white space or a
+        special string are gone through part by part, as there a prefix may be split otherwise than the whole.
+        """
+        odd = [bool(_RUN.search(t) or (self.special and self.special.search(t))) for t in texts]
+        by_part = self.parts([t for t, o in zip(texts, odd, strict=True) if o])
+        by_piece = self.pieces([t for t, o in zip(texts, odd, strict=True) if not o])
+        for o in odd:
+            steps = np.frombuffer(b"".join(next(by_part if o else by_piece)), np.int32)
             out = np.zeros(len(steps) + 1, np.int32)
             np.cumsum(steps, out=out[1:])
             yield out

@@ -7,8 +7,8 @@ the documents in the shard, one more than documents) and the row ids beside them
 again writes its own files; only those it reports are in the manifest. Prefix sums of the shards'
 lengths give each shard's base, so a document's place in the whole is base plus offset.
 
-The format's end id is appended to each document. Encoding is the library's, part by part: parts are
-cut where no token crosses, and a worker remembers the ids of those it has seen.
+The format's end id is appended to each document. Encoding is the library's, piece by piece: texts are cut
+where no token crosses, and a worker remembers the ids of the pieces it has seen.
 
 Defined results: a null text counts as empty and holds the end id only. Rows with one id are ordered by
 their text; null ids come first. An empty table gives no shard and an empty result.
@@ -16,11 +16,14 @@ their text; null ids come first. An empty table gives no shard and an empty resu
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
@@ -37,29 +40,64 @@ MANIFEST = T.StructType([T.StructField(n, T.LongType()) for n in ("shard", "docs
 
 
 class Library:
-    """The tokenizers library on parts of texts."""
+    """The tokenizers library; for byte-level tokenizers on the pieces that its pattern splits texts into."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.remembered = Remembered(self._parts)
-
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        kind = f"<u{self.width}"
-        return [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+        split = spec.get("pre_tokenizer") or {}
+        plain = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        self.has_added = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"]) or "(?!)").search
+        self.pattern = regex.compile(pattern).findall if pattern and plain else None
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocab.values()) + 1, bool)
+        self.spaced[[i for t, i in vocab.items() if t[0] == "\u0120"]] = True
+        self.run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.remembered = Remembered(self.pattern, self._pieces) if self.pattern else None
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, by the library, each by itself."""
+        ids = [e.ids for e in self.run(texts, add_special_tokens=False)]
+        return self._cut(ids, np.cumsum([0, *map(len, ids)]))
+
+    def _cut(self, ids: list[list[int]], at: np.ndarray) -> list[bytes]:
+        raw = np.fromiter(chain.from_iterable(ids), f"<u{self.width}").tobytes()
+        at = (at * self.width).tolist()
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece. Words behind a space go to the library in strings of 256: there they are split alike, and
+        a token that begins with a space begins a word."""
+        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        rows = ["".join(words[k : k + 256]) for k in range(0, len(words), 256)]
+        ids = [e.ids for e in self.run(rows, add_special_tokens=False)]
+        first = np.flatnonzero(self.spaced[np.fromiter(chain.from_iterable(ids), np.int64)])
+        if len(first) != len(words):
+            return self._encode(pieces)
+        of = dict(zip(words, self._cut(ids, np.append(first, sum(map(len, ids)))), strict=True))
+        rest = [p for p in pieces if p not in of]
+        of.update(zip(rest, self._encode(rest), strict=True))
+        return [of[p] for p in pieces]
 
     def encode(self, texts: list[str], end: int) -> Iterator[bytes]:
+        """The ids of each text and the end id; texts with an added token's string go to the library as they are."""
         last = np.array([end], f"<u{self.width}").tobytes()
-        for found in self.remembered(texts):
-            yield b"".join(found) + last
+        whole = [self.pattern is None or bool(self.has_added(t)) for t in texts]
+        direct = iter(self._encode([t for t, w in zip(texts, whole, strict=True) if w]) if any(whole) else ())
+        known = self.remembered([t for t, w in zip(texts, whole, strict=True) if not w]) if self.remembered else iter(())
+        for w in whole:
+            yield (next(direct) if w else b"".join(next(known))) + last
 
 
 @lru_cache(2)
-def library(path: str) -> Library:
-    return Library(path)
+def library(path: str, pattern: str | None) -> Library:
+    return Library(path, pattern)
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -67,11 +105,11 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return fs, path
 
 
-def _write(folder: str, tokenizer: str, end: int):
+def _write(folder: str, tokenizer: str, pattern: str | None, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        lib = library(tokenizer)
+        lib = library(tokenizer, pattern)
         shard = TaskContext.get().partitionId()
         uri = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}"
         fs, path = _open(uri)
@@ -101,9 +139,12 @@ def _write(folder: str, tokenizer: str, end: int):
     return run
 
 
-def write(docs: DataFrame, tokenizer: str, end: int, folder: str | None = None, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, end: int, pattern: str | None = None, folder: str | None = None, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """Encodes and writes all documents; the manifest: shard, docs, tokens, path, width, base.
 
+    With ``pattern``, the split pattern of a byte-level tokenizer, pieces are encoded once and remembered; without it,
+    and for all other tokenizers, whole texts go to the library.
+
     Only the manifest, one row a shard, comes together in one place, for the prefix sums.
     """
     spark = docs.sparkSession
@@ -111,7 +152,7 @@ def write(docs: DataFrame, tokenizer: str, end: int, folder: str | None = None,
     folder = folder or new_path(spark, "token-ids")
     docs = docs.select(F.col(row_id).alias("id"), F.col(text).cast("string").alias("text"))
     ordered = docs.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", "text")
-    shards = sorted(written(ordered.mapInArrow(_write(folder, tokenizer, end), MANIFEST), "manifest").collect(), key=lambda r: r.shard)
+    shards = sorted(written(ordered.mapInArrow(_write(folder, tokenizer, pattern, end), MANIFEST), "manifest").collect(), key=lambda r: r.shard)
     bases = np.concatenate([[0], np.cumsum([r.tokens for r in shards])]).tolist()
     rows = [(r.shard, r.docs, r.tokens, r.path, r.width, int(b)) for r, b in zip(shards, bases, strict=False)]
     return spark.createDataFrame(rows, T.StructType([*MANIFEST.fields, T.StructField("base", T.LongType())]))
