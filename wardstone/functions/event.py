@@ -134,11 +134,11 @@ def blank() -> dict[str, Column]:
     }
 
 
-def build(p: dict[str, Column]) -> Column:
-    """The event of a parser's columns: class_uid, activity, severity_id, message, time, product, vendor, uid, raw, ..."""
+def build(p: dict[str, Column]) -> dict[str, Column]:
+    """The event's fields from a parser's columns: class_uid, activity, severity_id, message, time, product, vendor, uid, raw, ..."""
     p = blank() | p
     c = p["class_uid"]
-    a = canonical_activity(c, p["activity"])
+    a = p["activity_id"] if "activity_id" in p else canonical_activity(c, p["activity"])
     endpoint = lambda side: F.struct(p[f"{side}_ip"].alias("ip"), p[f"{side}_port"].cast("long").alias("port"))
     product = F.struct(p["product"].alias("name"), p["vendor"].alias("vendor"), p["version"].alias("version"))
     values = {
@@ -172,11 +172,28 @@ def build(p: dict[str, Column]) -> Column:
         "finding_info": p["finding_info"],
         "confidence": p["confidence"],
     }
-    return F.struct(*[values[f.name].cast(f.dataType).alias(f.name) for f in EVENT.fields])
+    return {f.name: values[f.name].cast(f.dataType) for f in EVENT.fields}
 
 
-def violation(e: Column, check_digest: bool = False) -> Column:
-    """The first rule that an event breaks; null if it is valid."""
+def parts(p: dict[str, Column]) -> dict:
+    """A parser's columns by the names that validation uses. The digest is there whenever the raw line is."""
+    c, a = p["class_uid"], p["activity_id"]
+    return {
+        "class_uid": c,
+        "category_uid": category_uid(c),
+        "activity_id": a,
+        "type_uid": type_uid(c, a),
+        **{n: p[n] for n in ("severity_id", "time", "unmapped")},
+        "metadata": {"product": {"name": p["product"]}, "version": F.lit(VERSION), "uid": p["uid"]},
+        "raw_data": p["raw"],
+        "raw_data_hash": p["raw"],
+        "src_endpoint": {"ip": p["src_ip"], "port": p["src_port"]},
+        "dst_endpoint": {"ip": p["dst_ip"], "port": p["dst_port"]},
+    }
+
+
+def violation(e: Column | dict[str, Column], check_digest: bool = False) -> Column:
+    """The first rule that an event (a struct, or its fields by name) breaks; null if it is valid."""
     missing = lambda c: c.isNull() | (c == "")
     ip_bad = lambda c: (c != "") & ~is_ipv4_shaped(c)
     port_bad = lambda c: ~c.between(0, 65535)

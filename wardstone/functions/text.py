@@ -69,8 +69,9 @@ def choose(pairs: list[tuple[Column, object]], otherwise: object) -> Column:
 
 
 def mapped(c: Column, table: dict, otherwise: object) -> Column:
-    """A value looked up in a small table."""
-    return choose([(c == k, v) for k, v in table.items()], otherwise)
+    """A value looked up in a small constant table."""
+    flat = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.coalesce(F.try_element_at(flat, c), otherwise if isinstance(otherwise, Column) else F.lit(otherwise))
 
 
 def entries(*pairs: tuple[str, Column]) -> Column:

@@ -60,13 +60,25 @@ def source_and_target(e: dict[str, Column]) -> tuple[Column, Column]:
     return source, target
 
 
-def shared(line: Column) -> dict[str, Column]:
-    raw = without_line_end(line)
-    return {"raw": raw, **endpoints(raw)}
+def _raw(line: Column, s: dict[str, Column]) -> dict[str, Column]:
+    return {"raw": without_line_end(line)}
 
 
-def activity(number: Column, message: Column) -> Column:
-    low = F.lower(message)
+def _parts(line: Column, s: dict[str, Column]) -> dict[str, Column]:
+    raw = s["raw"]
+    return {**{n: first_group(raw, HEADER, g) for g, n in enumerate(("grade", "number", "message"), 1)}, "low_raw": F.lower(raw), **endpoints(raw)}
+
+
+def _endpoints(line: Column, s: dict[str, Column]) -> dict[str, Column]:
+    source, target = source_and_target(s)
+    return {"from": source, "to": target, "low": F.lower(s["message"]), "word": first_group(s["message"], r"^\s*(\S+)"), "proto": F.lower(first_group(s["raw"], r"(?i)\b(TCP|UDP|ICMP)\b"))}
+
+
+#: What each step adds to the columns that parse() finds.
+STEPS = (_raw, _parts, _endpoints)
+
+
+def activity(number: Column, low: Column) -> Column:
     denied = has_any(low, "deny", "denied", "failed")
     return choose(
         [
@@ -80,14 +92,12 @@ def activity(number: Column, message: Column) -> Column:
     )
 
 
-def action(number: Column, message: Column) -> Column:
-    word = first_group(message, r"^\s*(\S+)")
+def action(number: Column, word: Column) -> Column:
     return F.when(word == "", F.concat(F.lit("Unknown-"), number)).otherwise(mapped(F.lower(word), VERBS, word))
 
 
-def volume(raw: Column) -> Column:
-    """The integer after the first 'bytes '."""
-    low = F.lower(raw)
+def volume(low: Column) -> Column:
+    """The integer after the first 'bytes ' of a line in lower case."""
     rest = F.when(low.contains("bytes "), F.substr(low, F.instr(low, "bytes "))).otherwise("")
     return F.coalesce(first_group(rest, r"^bytes +([+-]?[0-9]+)").try_cast("long"), F.lit(0).cast("long"))
 
@@ -101,16 +111,14 @@ def timestamp(raw: Column) -> Column:
 
 
 def parse(line: Column, s: dict[str, Column], ingest_ms: Column) -> dict[str, Column]:
-    raw = s["raw"]
-    grade, number, message = (first_group(raw, HEADER, g) for g in (1, 2, 3))
-    failed = has_any(F.lower(message), "deny", "denied", "failed", "error")
-    proto = F.lower(first_group(raw, r"(?i)\b(TCP|UDP|ICMP)\b"))
-    source, target = source_and_target(s)
+    raw, grade, number, message, proto, low = (s[n] for n in ("raw", "grade", "number", "message", "proto", "low_raw"))
+    failed = has_any(s["low"], "deny", "denied", "failed", "error")
+    source, target = s["from"], s["to"]
     uid = event.uuid_shaped(F.concat(F.lit(NAME), raw))
-    stamp, low = timestamp(raw), F.lower(raw)
+    stamp = timestamp(raw)
     return {
         "class_uid": F.lit(event.NETWORK),
-        "activity": activity(number, message),
+        "activity": activity(number, s["low"]),
         "severity_id": mapped(grade, SEVERITY, 1),
         "status_id": F.when(failed, 2).otherwise(1),
         "status": F.when(failed, "Failure").otherwise("Success"),
@@ -129,10 +137,9 @@ def parse(line: Column, s: dict[str, Column], ingest_ms: Column) -> dict[str, Co
         "protocol_name": proto,
         "protocol_num": mapped(proto, PROTOCOL, 0),
         "direction": choose([(low.contains("outbound"), "outbound"), (low.contains("inbound"), "inbound")], "unknown"),
-        "action": action(number, message),
-        "bytes": volume(raw),
+        "action": action(number, s["word"]),
+        "bytes": volume(low),
         "unmapped": entries(("asa.message_id", number), ("asa.severity", grade), ("asa.connection_id", first_group(raw, r"connection[ \t\n\f\r]+([0-9]+)"))),
         "time_source": F.when(stamp.isNotNull(), "line").otherwise("ingest"),
         "error": F.when(~raw.rlike(HEADER), "cisco_asa: no %ASA header"),
-        "self_validates": F.lit(True),
     }

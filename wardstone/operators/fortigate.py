@@ -20,6 +20,8 @@ SEVERITY = {"information": 1, "notice": 1, "low": 2, "warning": 3, "medium": 3,
 ACTIVITY = {"pass": 1, "accept": 1, "allow": 1, "login": 1, "ssl-login": 1, "deny": 2, "blocked": 6, "dropped": 6}
 PROTOCOL = {"6": "tcp", "17": "udp", "1": "icmp"}
 
+USED = [k for k in KNOWN if k not in ("vd", "eventtype")] + ["version"]
+
 #: key=value, the value quoted with escapes, up to the line's end if its quote stays open, or bare.
 TOKEN = r'([^= \t]*)=("(?:\\["\\]|[^"])*+"?|[^ \t]*)'
 
@@ -44,11 +46,23 @@ def unquoted(v: Column) -> Column:
     return F.when(v.startswith('"'), inner).otherwise(v)
 
 
-def shared(line: Column) -> dict[str, Column]:
+def _tokens(line: Column, s: dict[str, Column]) -> dict[str, Column]:
     keys, values = tokens(line)
     return {"keys": keys, "values": values}
 
 
+def _raw_fields(line: Column, s: dict[str, Column]) -> dict[str, Column]:
+    return {f"raw_{k}": found(s["keys"], s["values"], k) for k in USED}
+
+
+def _fields(line: Column, s: dict[str, Column]) -> dict[str, Column]:
+    return {k: unquoted(s[f"raw_{k}"]) for k in USED}
+
+
+#: What each step adds to the columns that parse() finds.
+STEPS = (_tokens, _raw_fields, _fields)
+
+
 def fields(s: dict[str, Column], key: str) -> Column:
     return unquoted(found(s["keys"], s["values"], key))
 
@@ -69,7 +83,7 @@ def unmapped(s: dict[str, Column]) -> Column:
 
 
 def parse(line: Column, s: dict[str, Column]) -> dict[str, Column]:
-    kv = lambda key: fields(s, key)
+    kv = lambda key: s[key]
     action, low = kv("action"), lambda k: F.lower(kv(k))
     finding = (low("type") == "utm") & low("subtype").isin("virus", "ips") & F.lower(action).isin("blocked", "dropped")
     time = timestamp(kv)
@@ -101,5 +115,4 @@ def parse(line: Column, s: dict[str, Column]) -> dict[str, Column]:
             [((kv("logid") == "") | (kv("type") == ""), "fortigate: not a FortiGate log"), (time.isNull(), "fortigate: no valid timestamp")],
             F.lit(None).cast("string"),
         ),
-        "self_validates": F.lit(False),
     }

@@ -40,10 +40,39 @@ def detect(line: Column) -> Column:
     return (line.contains("SRC=") & line.contains("DST=")) | has_any(line, "[UFW", "[IPTABLES-DROP]", "sshd[")
 
 
-def shared(line: Column) -> dict[str, Column]:
-    raw = trimmed(line)
+KEYS = ["SRC", "DST", "SPT", "DPT", "PROTO", "IN", "OUT", "MAC", "LEN", "TOS", "TTL", "ID"]
+
+
+def _raw(line: Column, s: dict[str, Column]) -> dict[str, Column]:
+    return {"raw": trimmed(line)}
+
+
+def _tokens(line: Column, s: dict[str, Column]) -> dict[str, Column]:
+    raw = s["raw"]
     pick = lambda g: F.regexp_extract_all(raw, F.lit(PAIR), F.lit(g))
-    return {"raw": raw, "keys": pick(1), "values": pick(2)}
+    return {
+        "keys": pick(1),
+        "values": pick(2),
+        "stamp": first_group(raw, STAMP, 0),
+        "audit": F.when(raw.contains("audit("), first_group(raw, r"audit\((\d+)")),
+        "head": F.split(F.substring(raw, 1, 400), r"\s+", 5),
+        "action": choose([(raw.contains(tag), name) for tag, name in ACTIONS], "UNKNOWN"),
+        "digest": event.digest(raw),
+    }
+
+
+def _fields(line: Column, s: dict[str, Column]) -> dict[str, Column]:
+    part = F.split(s["stamp"], r"[ \t:]+")
+    number = lambda i: F.coalesce(F.get(part, F.lit(i)).try_cast("int"), F.lit(-1))
+    return {
+        **{k: found(s["keys"], s["values"], k) for k in KEYS},
+        "month": F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.coalesce(F.get(part, F.lit(0)), F.lit(""))).cast("int"),
+        **{n: number(i) for i, n in enumerate(("day", "hour", "minute", "second"), 1)},
+    }
+
+
+#: What each step adds to the columns that parse() finds.
+STEPS = (_raw, _tokens, _fields)
 
 
 def port(text: Column) -> Column:
@@ -55,9 +84,9 @@ def direction(inward: Column, outward: Column) -> Column:
     return choose([((inward != "") & (outward != ""), "Bidirectional"), (inward != "", "Inbound"), (outward != "", "Outbound")], "")
 
 
-def hostname(raw: Column) -> Column:
-    words = F.split(raw, r"\s+")
-    n = F.when(raw == "", 0).otherwise(F.size(words))
+def hostname(words: Column) -> Column:
+    """From the first words of a line: the fourth behind a stamp, else the first without a colon if there are more."""
+    n = F.size(words)
     word = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit(""))
     return choose([((n >= 4) & word(0).isin(MONTHS), word(3)), (n >= 2, F.regexp_replace(word(0), ":$", ""))], "")
 
@@ -69,29 +98,26 @@ def ssh_user(raw: Column) -> Column:
     )
 
 
-def timestamp(raw: Column, year: Column, zone: str) -> Column:
+def timestamp(s: dict[str, Column], year: Column, zone: str) -> Column:
     """Milliseconds of a leading stamp in the assumed year and zone, or of an audit stamp; null without either.
 
     A day beyond the month's end runs on into the next month.
     """
-    part = lambda g: first_group(raw, STAMP, g)
-    number = lambda g: F.coalesce(part(g).try_cast("int"), F.lit(-1))
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), part(1)).cast("int")
-    good = raw.rlike(STAMP) & number(2).between(1, 31) & (number(3) <= 23) & (number(4) <= 59) & (number(5) <= 59)
-    first = F.try_make_timestamp(year, F.greatest(month, F.lit(1)), F.lit(1), F.greatest(number(3), F.lit(0)), F.greatest(number(4), F.lit(0)), F.greatest(number(5), F.lit(0)).cast("decimal(8,6)"), F.lit(zone))
-    stamp = F.when(good, F.unix_millis(first + F.make_dt_interval(number(2) - 1)))
-    audit = first_group(raw, r"audit\((\d+)").try_cast("long")
-    return F.coalesce(stamp, F.try_multiply(audit, F.lit(1000).cast("long")))
+    good = (s["month"] > 0) & s["day"].between(1, 31) & (s["hour"] <= 23) & (s["minute"] <= 59) & (s["second"] <= 59)
+    least = lambda n, v: F.greatest(s[n], F.lit(v))
+    first = F.try_make_timestamp(year, least("month", 1), F.lit(1), least("hour", 0), least("minute", 0), least("second", 0).cast("decimal(8,6)"), F.lit(zone))
+    stamp = F.when(good, F.unix_millis(first + F.make_dt_interval(s["day"] - 1)))
+    return F.coalesce(stamp, F.try_multiply(s["audit"].try_cast("long"), F.lit(1000).cast("long")))
 
 
 def parse(line: Column, s: dict[str, Column], ingest_ms: Column, year: Column, zone: str) -> dict[str, Column]:
     raw = s["raw"]
-    kv = lambda key: found(s["keys"], s["values"], key)
-    action = choose([(raw.contains(tag), name) for tag, name in ACTIONS], "UNKNOWN")
-    uid = F.coalesce(or_null(kv("ID")), event.digest(raw))
+    kv = lambda key: s[key]
+    action = s["action"]
+    uid = F.coalesce(or_null(kv("ID")), s["digest"])
     proto = F.upper(kv("PROTO"))
     seen = lambda name, v: F.when(v != "", F.struct(F.lit(name).alias("name"), F.lit("ip").alias("type"), v.alias("value")))
-    stamp = timestamp(raw, year, zone)
+    stamp = timestamp(s, year, zone)
     ssh = raw.contains("sshd[")
     return {
         "class_uid": F.lit(event.NETWORK),
@@ -113,7 +139,7 @@ def parse(line: Column, s: dict[str, Column], ingest_ms: Column, year: Column, z
         "action": action,
         "observables": F.filter(F.array(seen("source_ip", kv("SRC")), seen("destination_ip", kv("DST"))), lambda o: o.isNotNull()),
         "unmapped": entries(
-            ("hostname", hostname(raw)),
+            ("hostname", hostname(s["head"])),
             ("interface_in", kv("IN")),
             ("interface_out", kv("OUT")),
             ("mac", kv("MAC")),
@@ -126,5 +152,4 @@ def parse(line: Column, s: dict[str, Column], ingest_ms: Column, year: Column, z
         ),
         "time_source": F.when(stamp.isNotNull(), "line").otherwise("ingest"),
         "error": F.when(raw == "", "linux: empty line"),
-        "self_validates": F.lit(True),
     }

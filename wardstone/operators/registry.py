@@ -23,12 +23,17 @@ class Context:
 
 @dataclass(frozen=True)
 class Source:
-    """A plug-in: all three functions map Columns to Columns. ``shared`` names what ``parse`` uses more than once."""
+    """A plug-in: all functions map Columns to Columns. ``steps`` name, one after the other, what later steps and ``parse``
+    use more than once; each is a projection of its own, so nothing is evaluated twice.
+
+    A source that ``validates`` rejects invalid events itself (parse_error); of others they are found invalid later.
+    """
 
     name: str
     detect: Callable[[Column], Column]
-    shared: Callable[[Column], dict[str, Column]]
+    steps: tuple[Callable[[Column, dict[str, Column]], dict[str, Column]], ...]
     parse: Callable[[Column, dict[str, Column], Context], dict[str, Column]]
+    validates: bool = True
 
 
 class Registry:
@@ -59,8 +64,8 @@ class Registry:
 def default() -> Registry:
     """FortiGate, Linux, Cisco ASA, Suricata, in this order."""
     r = Registry()
-    r.register(Source(fortigate.NAME, fortigate.detect, fortigate.shared, lambda line, s, c: fortigate.parse(line, s)))
-    r.register(Source(linux.NAME, linux.detect, linux.shared, lambda line, s, c: linux.parse(line, s, c.ingest_ms, c.year, c.zone)))
-    r.register(Source(cisco_asa.NAME, cisco_asa.detect, cisco_asa.shared, lambda line, s, c: cisco_asa.parse(line, s, c.ingest_ms)))
-    r.register(Source(suricata.NAME, suricata.detect, suricata.shared, lambda line, s, c: suricata.parse(line, s, c.ingest_ms)))
+    r.register(Source(fortigate.NAME, fortigate.detect, fortigate.STEPS, lambda line, s, c: fortigate.parse(line, s), validates=False))
+    r.register(Source(linux.NAME, linux.detect, linux.STEPS, lambda line, s, c: linux.parse(line, s, c.ingest_ms, c.year, c.zone)))
+    r.register(Source(cisco_asa.NAME, cisco_asa.detect, cisco_asa.STEPS, lambda line, s, c: cisco_asa.parse(line, s, c.ingest_ms)))
+    r.register(Source(suricata.NAME, suricata.detect, suricata.STEPS, lambda line, s, c: suricata.parse(line, s, c.ingest_ms)))
     return r

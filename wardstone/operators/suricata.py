@@ -30,9 +30,31 @@ def detect(line: Column) -> Column:
     return line.rlike(rf"^{BLANK}*\{{") & line.contains('"event_type"')
 
 
-def shared(line: Column) -> dict[str, Column]:
-    raw = without_line_end(line)
-    return {"raw": raw, "eve": F.from_json(raw, SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})}
+def _raw(line: Column, s: dict[str, Column]) -> dict[str, Column]:
+    return {"raw": without_line_end(line)}
+
+
+def _decoded(line: Column, s: dict[str, Column]) -> dict[str, Column]:
+    return {"eve": F.from_json(s["raw"], SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})}
+
+
+def _fields(line: Column, s: dict[str, Column]) -> dict[str, Column]:
+    e = s["eve"]
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return {
+        "kind": text(e["event_type"]),
+        "grade": F.coalesce(e["alert"]["severity"], F.lit(0).cast("long")),
+        "signature": text(e["alert"]["signature"]),
+        "category": text(e["alert"]["category"]),
+        "proto": F.lower(trimmed(text(e["proto"]))),
+        "source": trimmed(text(e["src_ip"])),
+        "target": trimmed(text(e["dest_ip"])),
+        "stamp": timestamp(text(e["timestamp"])),
+    }
+
+
+#: What each step adds to the columns that parse() finds.
+STEPS = (_raw, _decoded, _fields)
 
 
 def timestamp(text: Column) -> Column:
@@ -45,15 +67,12 @@ def parse(line: Column, s: dict[str, Column], ingest_ms: Column) -> dict[str, Co
     raw, e = s["raw"], s["eve"]
     text = lambda c: F.coalesce(c, F.lit(""))
     number = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    kind, alert = text(e["event_type"]), e["alert"]
+    alert = e["alert"]
+    kind, grade, signature, category, proto, source, target, stamp = (s[n] for n in ("kind", "grade", "signature", "category", "proto", "source", "target", "stamp"))
     is_alert = kind == "alert"
-    grade = number(alert["severity"])
-    signature, category = text(alert["signature"]), text(alert["category"])
-    proto = F.lower(trimmed(text(e["proto"])))
     known = proto.isin("tcp", "udp", "icmp", "")
-    source, target = trimmed(text(e["src_ip"])), trimmed(text(e["dest_ip"]))
     uid = event.uuid_shaped(F.concat(F.lit(NAME), raw))
-    stamp, flow = timestamp(text(e["timestamp"])), e["flow"]
+    flow = e["flow"]
     shown = lambda c: F.when(c != 0, c.cast("string"))
     only = lambda c: F.when(is_alert, c)
     wrong = lambda ip: (ip != "") & ~is_ip(ip)
@@ -106,5 +125,4 @@ def parse(line: Column, s: dict[str, Column], ingest_ms: Column) -> dict[str, Co
             ],
             F.lit(None).cast("string"),
         ),
-        "self_validates": F.lit(True),
     }

@@ -1,4 +1,4 @@
-"""Text lines -> canonical events: detect, parse, map and validate in one narrow projection, without a shuffle."""
+"""Text lines -> canonical events: detect, parse, map and validate in narrow projections, without a shuffle."""
 
 from __future__ import annotations
 
@@ -30,40 +30,53 @@ def normalize(
     of its own gets ``ingest_ms`` (the present, if None). Linux stamps lie in ``assume_year`` (the present one) and
     ``linux_zone``. ``uid_mode`` 'compat' takes Linux's ID field as identifier, 'safe' always a digest of the line.
 
-    Parts that a parser uses more than once are columns of an earlier projection, each guarded by its source, so a
-    line costs its own parser only.
+    Each source's lines are a branch of their own, so that Catalyst prunes, pushes down and compiles each parser by
+    itself and fields that nobody reads are not parsed; branches only scan and detect again, nothing is shuffled.
+    Parts that a parser uses more than once are columns of an earlier projection.
     """
     registry = registry or sources.default()
     context = _context(ingest_ms, assume_year, linux_zone)
     text = F.col(f"`{line}`")
-    found = registry.ordered()
-    guarded = lambda s, c: F.when(F.col("source") == s.name, c)
-    df = lines.withColumn("source", registry.detect(text))
-    df = df.withColumns({f"__{s.name}": guarded(s, F.struct(*[c.alias(n) for n, c in s.shared(text).items()])) for s in found})
-
-    result: Column | None = None
-    for s in found:
-        names = list(s.shared(text))
-        p = s.parse(text, {n: F.col(f"__{s.name}")[n] for n in names}, context)
+    own = [c for c in lines.columns if c not in {"source", *event.FIELDS}]
+    routed = lines.select(*[F.col(f"`{c}`") for c in own], registry.detect(text).alias("source"))
+    out = _unrouted(routed.filter(F.col("source") == ""))
+    for s in registry.ordered():
+        keep = [F.col(f"`{c}`") for c in [*own, "source"]]
+        df, have = routed.filter(F.col("source") == s.name), []
+        for step in s.steps:
+            new = step(text, {n: F.col(f"__{n}") for n in have})
+            df = df.select("*", *[c.alias(f"__{n}") for n, c in new.items()])
+            have += new
+        p = s.parse(text, {n: F.col(f"__{n}") for n in have}, context)
         if uid_mode == "safe" and s.name == "linux":
             p = p | {"uid": event.digest(p["raw"])}
-        one = F.struct(event.build(p).alias("event"), p["error"].cast("string").alias("error"), p["time_source"].cast("string").alias("time_source"), p["self_validates"].alias("strict"))
-        result = F.when(F.col("source") == s.name, one) if result is None else result.when(F.col("source") == s.name, one)
-    df = df.withColumn("__r", result).drop(*[f"__{s.name}" for s in found])
-    broken = event.violation(F.col("__r.event"))
-    df = df.withColumn("__v", F.when(F.col("__r.error").isNull() & F.col("__r").isNotNull(), broken))
-    parse_error = F.coalesce("__r.error", F.when(F.col("__r.strict") & F.col("__v").isNotNull(), F.concat("source", F.lit(": "), "__v")))
-    df = df.withColumn("parse_error", parse_error)
-    good = F.col("parse_error").isNull()
-    df = df.withColumns(
-        {f: F.when(good, F.col(f"__r.event.{f}")) for f in event.FIELDS}
-        | {
-            "validation_error": F.when(good, F.col("__v")),
-            "time_source": F.when(good, F.col("__r.time_source")),
-            "event_date": F.when(good, F.to_date(F.timestamp_millis("__r.event.time"))),
-        }
-    )
-    return df.drop("__r", "__v")
+        p = event.blank() | p
+        df = df.select(*keep, *[c.alias(f"_p_{n}") for n, c in p.items()])
+        p = {n: F.col(f"_p_{n}") for n in p}
+        df = df.select("*", event.canonical_activity(p["class_uid"], p["activity"]).alias("_p_activity_id"))
+        p["activity_id"] = F.col("_p_activity_id")
+        # The generator is a fence: filters on the verdict stay above it and don't repeat each field's expression.
+        broken = F.when(p["error"].isNull(), event.violation(event.parts(p)))
+        verdict = F.explode(F.array(F.struct(p["error"].cast("string").alias("error"), broken.alias("broken"))))
+        df = df.select("*", verdict.alias("__x"))
+        error, broken = F.col("__x.error"), F.col("__x.broken")
+        df = df.select("*", (F.coalesce(error, F.concat("source", F.lit(": "), broken)) if s.validates else error).alias("parse_error"))
+        good = F.col("parse_error").isNull()
+        df = df.select(
+            *keep,
+            *[F.when(good, c).alias(f) for f, c in event.build(p).items()],
+            "parse_error",
+            F.when(good, broken).alias("validation_error"),
+            F.when(good, p["time_source"].cast("string")).alias("time_source"),
+            F.when(good, F.to_date(F.timestamp_millis(p["time"]))).alias("event_date"),
+        )
+        out = out.unionByName(df)
+    return out
+
+
+def _unrouted(df: DataFrame) -> DataFrame:
+    none = {f.name: f.dataType for f in event.EVENT.fields} | {"parse_error": "string", "validation_error": "string", "time_source": "string", "event_date": "date"}
+    return df.select("*", *[F.lit(None).cast(t).alias(n) for n, t in none.items()])
 
 
 def event_of(df: DataFrame) -> Column:

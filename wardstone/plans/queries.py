@@ -182,7 +182,7 @@ def fgt_unmapped_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 25 keys without a field: the first 20 by their bytes stay."""
     extra = " ".join(f"' k{(7 * k) % 25:02d}=' || (event_id + {k}) ||" for k in range(25)).removesuffix("||")
     line = f"'date=2024-01-01 time=00:00:00 logid=\"1\" type=\"event\" version=\"7\"' || {extra}"
-    df = carriers.base(spark, sf_dir).withColumn("value", F.expr(line))
+    df = carriers.rendered(carriers.base(spark, sf_dir), line)
     return parsed(df, "event_id").select("event_id", "unmapped", "version")
 
 
@@ -214,7 +214,7 @@ EVE_REJECTS = [
 def eve_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     only = sources.Registry()
     whole = sources.default().get("suricata")
-    only.register(sources.Source(whole.name, lambda line: F.lit(True), whole.shared, whole.parse))
+    only.register(sources.Source(whole.name, lambda line: F.lit(True), whole.steps, whole.parse))
     df = _literal(spark, [r[:2] for r in EVE_REJECTS], ["k", "value"])
     return parsed(df, "k", registry=only).select("k", F.col("parse_error").alias("error"))
 
@@ -502,7 +502,7 @@ _add("ip_outliers", ip_outliers)
 def asa_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each built connection with a teardown of the same number, ten ids later by construction."""
     base = carriers.base(spark, sf_dir).withColumn("conn", F.expr("10000 + event_id - event_id % 9"))
-    df = accepted(normalize(base.withColumn("value", F.expr(carriers.CISCO_ASA)), ingest_ms=INGEST, assume_year=YEAR))
+    df = accepted(normalize(carriers.rendered(base, carriers.CISCO_ASA), ingest_ms=INGEST, assume_year=YEAR))
     return analytics.sessions(df).select(F.col("connection").cast("long").alias("connection"), "begun", "ended", "bytes", F.col("src_endpoint.ip").alias("src_ip"))
 
 

@@ -97,4 +97,9 @@ def _split(select: str) -> list[str]:
 
 def lines(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """Rows of ``events`` with ``value``, a line of that vendor (or 'mixed')."""
-    return base(spark, sf_dir).withColumn("value", F.expr(MIXED if kind == "mixed" else LINES[kind]))
+    return rendered(base(spark, sf_dir), MIXED if kind == "mixed" else LINES[kind])
+
+
+def rendered(df: DataFrame, line: str) -> DataFrame:
+    """Adds ``value``. The generator keeps filters on lines above their rendering, as they would stand above a scan of text."""
+    return df.select("*", F.explode(F.array(F.expr(line))).alias("value"))

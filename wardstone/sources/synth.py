@@ -117,7 +117,7 @@ def generate(spark: SparkSession, vendor: str, n: int, seed: int = 0) -> DataFra
     at = f"timestamp_seconds({START} + i)"
     form = lambda p: f"date_format({at}, '{p}')"
     line = line_sql(vendor, form("MMM dd yyyy HH:mm:ss"), form("MMM dd HH:mm:ss"), f"replace({form('yyyy-MM-dd HH:mm:ss')}, ' ', 'T')", form("yyyy-MM-dd"), form("HH:mm:ss"))
-    return df.withColumn("value", F.expr(line)).select("i", "shape", "value")
+    return df.select("i", "shape", F.explode(F.array(F.expr(line))).alias("value"))
 
 
 def corpus(spark: SparkSession, n_each: int, seed: int = 42) -> DataFrame:
