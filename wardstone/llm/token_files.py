@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -53,7 +52,7 @@ class Library:
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         split = spec.get("pre_tokenizer") or {}
         plain = spec.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
-        self.has_added = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"]) or "(?!)").search
+        self.added = [x["content"] for x in spec["added_tokens"]]
         self.pattern = regex.compile(pattern).findall if pattern and plain else None
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.spaced = np.zeros(max(vocab.values()) + 1, bool)
@@ -64,10 +63,10 @@ class Library:
     def _encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, by the library, each by itself."""
         ids = [e.ids for e in self.run(texts, add_special_tokens=False)]
-        return self._cut(ids, np.cumsum([0, *map(len, ids)]))
+        return self._cut(np.fromiter(chain.from_iterable(ids), f"<u{self.width}"), np.cumsum([0, *map(len, ids)]))
 
-    def _cut(self, ids: list[list[int]], at: np.ndarray) -> list[bytes]:
-        raw = np.fromiter(chain.from_iterable(ids), f"<u{self.width}").tobytes()
+    def _cut(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+        raw = ids.tobytes()
         at = (at * self.width).tolist()
         return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
@@ -76,11 +75,11 @@ class Library:
         a token that begins with a space begins a word."""
         words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
         rows = ["".join(words[k : k + 256]) for k in range(0, len(words), 256)]
-        ids = [e.ids for e in self.run(rows, add_special_tokens=False)]
-        first = np.flatnonzero(self.spaced[np.fromiter(chain.from_iterable(ids), np.int64)])
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.run(rows, add_special_tokens=False)), f"<u{self.width}")
+        first = np.flatnonzero(self.spaced[ids])
         if len(first) != len(words):
             return self._encode(pieces)
-        of = dict(zip(words, self._cut(ids, np.append(first, sum(map(len, ids)))), strict=True))
+        of = dict(zip(words, self._cut(ids, np.append(first, len(ids))), strict=True))
         rest = [p for p in pieces if p not in of]
         of.update(zip(rest, self._encode(rest), strict=True))
         return [of[p] for p in pieces]
@@ -88,7 +87,7 @@ class Library:
     def encode(self, texts: list[str], end: int) -> Iterator[bytes]:
         """The ids of each text and the end id; texts with an added token's string go to the library as they are."""
         last = np.array([end], f"<u{self.width}").tobytes()
-        whole = [self.pattern is None or bool(self.has_added(t)) for t in texts]
+        whole = [self.pattern is None or any(a in t for a in self.added) for t in texts]
         direct = iter(self._encode([t for t, w in zip(texts, whole, strict=True) if w]) if any(whole) else ())
         known = self.remembered([t for t, w in zip(texts, whole, strict=True) if not w]) if self.remembered else iter(())
         for w in whole:
