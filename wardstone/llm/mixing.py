@@ -65,15 +65,15 @@ def parts(data: np.ndarray, offsets: np.ndarray, rows: int = 64) -> Iterator[tup
 class Model:
     """Softmax regression over the domains, on the presence of telling words and the shape of lines."""
 
-    def __init__(self, names: list[str], found: list[np.ndarray], shape: np.ndarray, label: np.ndarray, steps: int = 300):
-        """found: the distinct word buckets of each document."""
+    def __init__(self, names: list[str], found: list[np.ndarray], shape: np.ndarray, label: np.ndarray, share: np.ndarray, steps: int = 300):
+        """found: the distinct word buckets of each document; share: of the domains among all labelled documents."""
         self.names = names
         n, k = len(found), len(names)
         y = np.eye(k, dtype=np.float32)[label]
         per = y.sum(axis=0)
         seen = np.stack([np.bincount(np.concatenate([f for f, v in zip(found, label, strict=True) if v == c] or [np.zeros(0, np.int64)]), minlength=WIDTH) for c in range(k)], axis=1)
-        share, rest = seen / np.maximum(per, 1), (seen.sum(axis=1, keepdims=True) - seen) / np.maximum(n - per, 1)
-        telling = np.abs(share - rest) / np.sqrt((share + rest + 2 / n) / 2)
+        here, rest = seen / np.maximum(per, 1), (seen.sum(axis=1, keepdims=True) - seen) / np.maximum(n - per, 1)
+        telling = np.abs(here - rest) / np.sqrt((here + rest + 2 / n) / 2)
         best = np.argsort(-telling, axis=0, kind="stable")[: USED // k]
         self.used = np.unique(best)
         self.place = np.full(WIDTH, -1, np.int64)
@@ -89,7 +89,8 @@ class Model:
             g = (self._softmax(x @ vw + vb) - y) / n
             pw, pb = w, b
             w, b = vw - rate * (x.T @ g + 1e-4 * vw), vb - rate * g.sum(axis=0)
-        self.w, self.b = w, b
+        # The sample holds the domains in equal parts; posteriors are those of their true shares.
+        self.w, self.b = w, b + np.log(share / share.sum()) - np.log(per / per.sum())
 
     def matrix(self, n: int, doc: np.ndarray, bucket: np.ndarray, shape: np.ndarray) -> np.ndarray:
         words_ = np.zeros((n, len(self.used)), np.float32)
@@ -141,7 +142,7 @@ def learn(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("quali
         return None
     found = [np.frombuffer(v.as_buffer(), np.int32).astype(np.int64) for v in got.column("found")]
     shape = np.stack([np.frombuffer(v.as_buffer(), np.float32) for v in got.column("shape")])
-    return Model(names, found, shape, np.array([names.index(v) for v in domain]))
+    return Model(names, found, shape, np.array([names.index(v) for v in domain]), np.array([count[v] for v in names], float))
 
 
 def _posteriors(model: Model):
