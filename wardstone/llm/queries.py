@@ -19,7 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = quality.learn(docs, _table(spark, sf_dir, "labels"), crc_mod(5) != 0)
+    model = quality.learn(docs, _table(spark, sf_dir, "labels").filter(crc_mod(5) != 0), crc_mod(5) != 0)
     return quality.classify(docs, model, 0.3, held_out=crc_mod(5) == 0).select("doc_id", "held_out", "score", "predicted")
 
 
