@@ -1,4 +1,4 @@
-from wardstone.operators.registry import Registry, Source, default
+from wardstone.operators.registry import Registry, Source, default, extended
 from wardstone.plans import store
 from wardstone.plans.normalize import accepted, flat, normalize, rejected
 
@@ -68,3 +68,13 @@ def test_cursor(spark):
     df = spark.createDataFrame([(i, "a" if i % 2 else "b") for i in range(20)], "event_id long, source string")
     page = store.since(df, 4, 3, "a")
     assert [r.event_id for r in page.collect()] == [5, 7, 9] and store.next_cursor(page, 4) == 9 and store.next_cursor(df.filter("false"), 4) == 4
+
+
+def test_panos_is_an_extension(spark):
+    csv = '<14>Nov 30 16:09:08 PA 1,2012/10/30 09:46:12,01,THREAT,url,1,2012/04/10 04:39:56,192.168.0.2,175.16.199.1,0.0.0.0,0.0.0.0,"rule, one",u,,web,v,a,b,e1,e2,f,t,25149,1,59309,80,0,0,0x2,tcp,alert,"x"'
+    r = one(spark, csv, registry=extended())
+    assert (r.source, r.class_uid, r.src_ip, r.src_port, r.dst_ip, r.dst_port, r.action, r.protocol_num) == ("panos", 2004, "192.168.0.2", 59309, "175.16.199.1", 80, "alert", 6)
+    assert r.time == 1334032796000 and r.unmapped == 'app=web;rule="rule, one";session=25149'
+    r = one(spark, "CEF:0|V|PAN-OS|10|TRAFFIC|Log|1|src=192.168.1.100 dst=8.8.8.8 spt=5353 dpt=53 proto=udp act=allow app=dns", registry=extended())
+    assert (r.class_uid, r.activity_name, r.src_port, r.dst_port, r.protocol_name) == (4001, "Allow", 5353, 53, "udp")
+    assert one(spark, csv).source == ""

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import choose
-from . import cisco_asa, fortigate, linux, suricata
+from . import cisco_asa, fortigate, linux, panos, suricata
 
 
 @dataclass(frozen=True)
@@ -69,3 +69,10 @@ def default() -> Registry:
     r.register(Source(cisco_asa.NAME, cisco_asa.detect, cisco_asa.STEPS, lambda line, s, c: cisco_asa.parse(line, s, c.ingest_ms)))
     r.register(Source(suricata.NAME, suricata.detect, suricata.STEPS, lambda line, s, c: suricata.parse(line, s, c.ingest_ms)))
     return r
+
+
+def extended() -> Registry:
+    """The default sources and, after them, PAN-OS."""
+    r = default()
+    r.register(Source(panos.NAME, panos.detect, panos.STEPS, lambda line, s, c: panos.parse(line, s, c.ingest_ms)))
+    return r
