@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wardstone.llm import bpe, exact_dedup, lang_id, mixing, near_dedup
 from wardstone.llm._store import written
-from wardstone.llm.queries import TARGETS
+from wardstone.llm.queries import CLEAN, TARGETS
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +31,12 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of domains beyond their target go by chance, by their fitted rate; none is repeated."""
+    """Documents of domains beyond their target go by chance, by their fitted rate; none is repeated.
+
+    The clean domain sets the budget: scarce toxic or junk documents never make clean ones go.
+    """
     model = mixing.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rates = mixing.mix(docs, model, TARGETS)
+    rates = mixing.mix(docs, model, TARGETS, whole=CLEAN)
     gone = rates.filter(mixing.copies(F.col("rate"), F.col("doc_id")) < 1).select(F.col("doc_id").alias("mx_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["mx_gone"], "left_anti")
 

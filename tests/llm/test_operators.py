@@ -292,3 +292,30 @@ def test_mixing(spark):
     assert {g.doc_id: g.n_tokens for g in got}[900] == 0 and len(got) == len(rows)
     assert {r.rate for r in mixing.mix(docs, mixing.learn(docs, empty(marks)), targets).collect()} == {1.0}
     assert mixing.mix(empty(docs), model, targets).count() == 0
+
+
+def _scarce(toxic=0.01, junk=0.1, n=3000):
+    """Texts of equal lengths with few toxic ones, and their labels."""
+    r = random.Random(8)
+    rows, labels = [], []
+    for i in range(n):
+        u = r.random()
+        kind = (1, 1) if u < toxic else (0, 0) if u < toxic + junk else (1, 0)
+        words = [r.choice("lorem ipsum dolor sit amet elit sed".split()) for _ in range(24)]
+        if kind == (1, 1):
+            words[:6] = ["nasty", "vile"] * 3
+        rows.append((i, " ".join(f"{w.upper()}!!" for w in words) if kind == (0, 0) else " ".join(words) + "."))
+        labels.append((i, *kind))
+    return rows, labels
+
+
+def test_mixing_scarce_domain_keeps_clean_whole(spark, tmp_path):
+    """With 1 % toxic tokens and a target of 4 %, no clean document goes for it."""
+    import corpus_pipeline
+
+    rows, labels = _scarce()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = {r.doc_id for r in corpus_pipeline.mixing_stage(spark, docs, str(tmp_path)).collect()}
+    kept = lambda q, t: sum(i in left for i, *v in labels if v == [q, t]) / sum(v == [q, t] for _, *v in labels)
+    assert kept(1, 0) >= 0.99 and kept(1, 1) >= 0.8 and kept(0, 0) < 0.6

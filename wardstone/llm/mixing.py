@@ -8,7 +8,10 @@ w_i = max(0, w_i - posterior_i . v) for a vector v of one number a domain. So on
 through the driver: each pass over the posteriors folds all steps so far and sums up the totals, and no state
 of documents is written between passes.
 
-The budget is the largest total that asks no domain for more than it has, unless one is given.
+The budget is the largest total that asks no domain for more than it has, unless one is given. Under it one scarce
+domain shrinks all others. With a domain named as ``whole``, the budget is the one at which that domain is kept in full,
+and the targets of the others are upper bounds: a domain that has less aims at what it has. If the labels don't know
+that domain, or it has no target, the budget is as without it.
 
 Tokens are words (runs without ASCII white space). Learning uses a bounded sample: some ``most_docs`` labelled
 documents, as many of each domain where there are enough, of up to ``longest`` bytes (those of the least hash
@@ -184,7 +187,7 @@ def _totals(k: int, steps: list[np.ndarray]):
     return run
 
 
-def rates(posteriors: DataFrame, names: list[str], targets: dict[str, float], budget: float | None = None, tolerance: float = 1e-5, most_steps: int = 40) -> list[np.ndarray]:
+def rates(posteriors: DataFrame, names: list[str], targets: dict[str, float], budget: float | None = None, whole: str | None = None, tolerance: float = 1e-5, most_steps: int = 40) -> list[np.ndarray]:
     """The gradient steps that turn a rate of 1 into each document's rate."""
     k = len(names)
     goal = np.array([max(0.0, targets.get(n, 0.0)) for n in names])
@@ -204,8 +207,11 @@ def rates(posteriors: DataFrame, names: list[str], targets: dict[str, float], bu
         if aim is None:
             moment = np.array([r[f"m{i}"] for i in range(k * k)]).reshape(k, k) / total
             inverse = np.linalg.inv(moment + 1e-6 * np.eye(k))
-            most = min((got[i] / total / goal[i] for i in range(k) if goal[i] > 0), default=1.0)
-            aim = goal * (most if budget is None else budget / total)
+            most = {names[i]: got[i] / total / goal[i] for i in range(k) if goal[i] > 0}
+            if budget is None and whole in most:
+                aim = np.minimum(goal * most[whole], got / total)
+            else:
+                aim = goal * (min(most.values()) if budget is None else budget / total)
         rest = got / total - aim
         if np.abs(rest).max() < tolerance:
             break
@@ -224,7 +230,7 @@ def _apply(steps: list[np.ndarray], names: list[str]):
     return run
 
 
-def mix(docs: DataFrame, model: Model | None, targets: dict[str, float], budget: float | None = None, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, model: Model | None, targets: dict[str, float], budget: float | None = None, text: str = "text", row_id: str = "doc_id", whole: str | None = None) -> DataFrame:
     """One row per input row: id, n_tokens (words), domain (the likeliest), posterior (in the order of names), rate."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(row_id).alias("id"), F.col(text).cast("string").alias("text"))
@@ -234,7 +240,7 @@ def mix(docs: DataFrame, model: Model | None, targets: dict[str, float], budget:
         words_ = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
         return rows.select("id", words_.alias("n_tokens"), F.lit(None).cast("string").alias("domain"), F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate")).withColumnRenamed("id", row_id)
     table = written(rows.mapInArrow(_posteriors(model), T.StructType([id_field, out["n_tokens"], out["posterior"]])), "posteriors")
-    steps = rates(table, model.names, targets, budget)
+    steps = rates(table, model.names, targets, budget, whole)
     return table.mapInArrow(_apply(steps, model.names), out).withColumnRenamed("id", row_id)
 
 

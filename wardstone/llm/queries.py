@@ -11,6 +11,8 @@ from ._store import crc_mod
 
 #: Shares of expected tokens that op10 and the pipeline aim at, by the labels' quality and toxic.
 TARGETS = {"quality=1 toxic=0": 0.92, "quality=1 toxic=1": 0.04, "quality=0 toxic=0": 0.04}
+#: The domain that is kept in full; the other shares are upper bounds.
+CLEAN = "quality=1 toxic=0"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +64,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = mixing.learn(docs, _table(spark, sf_dir, "labels"))
-    out = mixing.mix(docs, model, TARGETS)
+    out = mixing.mix(docs, model, TARGETS, whole=CLEAN)
     return out.select("doc_id", "n_tokens", "domain", "posterior", "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
