@@ -37,7 +37,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     model = mixing.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rates = mixing.mix(docs, model, TARGETS, whole=CLEAN)
-    gone = rates.filter(mixing.copies(F.col("rate"), F.col("doc_id")) < 1).select(F.col("doc_id").alias("mx_gone")).distinct()
+    gone = rates.filter(mixing.copies(F.col("rate"), F.col("doc_id"), F.col("domain") == CLEAN) < 1).select(F.col("doc_id").alias("mx_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["mx_gone"], "left_anti")
 
 

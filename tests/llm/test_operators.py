@@ -319,3 +319,19 @@ def test_mixing_scarce_domain_keeps_clean_whole(spark, tmp_path):
     left = {r.doc_id for r in corpus_pipeline.mixing_stage(spark, docs, str(tmp_path)).collect()}
     kept = lambda q, t: sum(i in left for i, *v in labels if v == [q, t]) / sum(v == [q, t] for _, *v in labels)
     assert kept(1, 0) >= 0.99 and kept(1, 1) >= 0.8 and kept(0, 0) < 0.6
+
+
+def test_mixing_rounds_up_clean_only(spark):
+    """Toxic documents a little beyond their target share go by chance; their realised share is that target."""
+    from wardstone.llm.queries import CLEAN, TARGETS
+
+    rows, labels = _scarce(toxic=0.045)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = mixing.learn(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = mixing.mix(docs, model, TARGETS, whole=CLEAN)
+    count = mixing.copies(F.col("rate"), F.col("doc_id"), F.col("domain") == CLEAN)
+    copies = {r.doc_id: r.c for r in got.select("doc_id", count.alias("c")).collect()}
+    toxic, clean = ([copies[i] for i, *v in labels if v == kind] for kind in ([1, 1], [1, 0]))
+    assert sum(toxic) < 0.93 * len(toxic) and sum(c >= 1 for c in clean) >= 0.99 * len(clean)
+    share = {r.domain: r for r in mixing.shares(got, model, TARGETS, count).collect()}
+    assert share["quality=1 toxic=1"].target == pytest.approx(0.04) and share["quality=1 toxic=1"].realised < 0.044

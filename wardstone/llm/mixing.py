@@ -244,8 +244,17 @@ def mix(docs: DataFrame, model: Model | None, targets: dict[str, float], budget:
     return table.mapInArrow(_apply(steps, model.names), out).withColumnRenamed("id", row_id)
 
 
-def copies(rate: Column, row_id: Column, round_up: float = 0.75) -> Column:
-    """The number of copies of a row: its rate, rounded at random by a hash of its id; from ``round_up`` to 1 it is 1."""
-    rate = F.when((rate >= round_up) & (rate < 1), 1.0).otherwise(rate)
+def copies(rate: Column, row_id: Column, keep: Column, round_up: float = 0.75) -> Column:
+    """The number of copies of a row: its rate, rounded at random by a hash of its id; from ``round_up`` to 1 it is 1 where ``keep`` holds."""
+    rate = F.when((rate >= round_up) & (rate < 1) & keep, 1.0).otherwise(rate)
     chance = F.pmod(F.xxhash64(row_id, F.lit(37)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     return F.floor(rate + chance).cast("int")
+
+
+def shares(mixed: DataFrame, model: Model, targets: dict[str, float], count: Column) -> DataFrame:
+    """domain, target, realised: the shares of tokens asked for, and those of ``count`` copies of each row of mix()."""
+    tokens = F.col("n_tokens") * count
+    of = [(n, max(0.0, targets.get(n, 0.0)), F.sum(F.col("posterior")[i] * tokens) / F.sum(tokens)) for i, n in enumerate(model.names)]
+    whole = sum(t for _, t, _ in of) or 1.0
+    rows = F.array(*[F.struct(F.lit(n).alias("domain"), F.lit(t / whole).alias("target"), v.alias("realised")) for n, t, v in of])
+    return mixed.agg(rows.alias("rows")).select(F.inline("rows"))

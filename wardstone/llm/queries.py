@@ -65,7 +65,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = mixing.learn(docs, _table(spark, sf_dir, "labels"))
     out = mixing.mix(docs, model, TARGETS, whole=CLEAN)
-    return out.select("doc_id", "n_tokens", "domain", "posterior", "rate", mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    return out.select("doc_id", "n_tokens", "domain", "posterior", "rate", mixing.copies(F.col("rate"), F.col("doc_id"), F.col("domain") == CLEAN).alias("copies"))
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_chat_formatting, op3_token_counts, op4_token_files, op5_language_id, op6_minhash_near_dedup, op7_exact_topk, op8_byte_bpe, op9_exact_dedup, op10_mixing)}
