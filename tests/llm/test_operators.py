@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import warnings
 import zlib
 
 import numpy as np
@@ -335,3 +336,21 @@ def test_mixing_rounds_up_clean_only(spark):
     assert sum(toxic) < 0.93 * len(toxic) and sum(c >= 1 for c in clean) >= 0.99 * len(clean)
     share = {r.domain: r for r in mixing.shares(got, model, TARGETS, count).collect()}
     assert share["quality=1 toxic=1"].target == pytest.approx(0.04) and share["quality=1 toxic=1"].realised < 0.044
+
+
+def test_mixing_settles_with_a_domain_without_target(spark):
+    r = np.random.default_rng(6)
+    share = np.array([0.1, 0.02, 0.09, 0.79])
+    label = r.choice(4, 4000, p=share)
+    z = np.log(share) + 6 * np.eye(4)[label] + r.normal(size=(4000, 4))
+    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    df = spark.createDataFrame([(int(n), v.tolist()) for n, v in zip(r.integers(20, 400, 4000), p, strict=True)], "n_tokens long, posterior array<double>")
+    targets = {"d0": 0.04, "d2": 0.04, "d3": 0.92}
+    names = ["d0", "d1", "d2", "d3"]
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", RuntimeWarning)
+        steps = mixing.rates(df, names, targets, whole="d3")
+    last = mixing._fold(p, steps) - mixing._fold(p, steps[:-1])
+    assert 0 < len(steps) < 200 and np.sqrt(np.mean(last**2)) < 4e-4
+    with pytest.warns(RuntimeWarning, match="not settled after 3 steps"):
+        assert len(mixing.rates(df, names, targets, whole="d3", most_steps=3)) == 3

@@ -4,7 +4,11 @@ A classifier learned from a labelled table gives each document's posterior over
 tuples). Document i gets a rate w_i >= 0, its expected number of copies, such that the expected domain totals
 sum(w_i * tokens_i * posterior_i) match ``budget * target``. The rates minimise the squared distance between
 the two, in the metric of the domains' second moments, by projected gradient steps from w = 1: each step is
-w_i = max(0, w_i - posterior_i . v) for a vector v of one number a domain. So only these few numbers pass
+w_i = max(0, w_i - posterior_i . v) for a vector v of one number a domain. The steps end when the totals match, or when
+a step moves the rates by less than ``settled`` (root mean square over tokens). The latter is the usual end where a domain
+without a target aims at 0, as posteriors are positive: from there on the distance hardly falls, while further steps
+would slowly move weight to the few purest documents. So the rates are near the minimum, not at it. After ``most_steps``
+without either a RuntimeWarning gives the last step and the distance left. So only these few numbers pass
 through the driver: each pass over the posteriors folds all steps so far and sums up the totals, and no state
 of documents is written between passes.
 
@@ -24,6 +28,7 @@ Without two domains to learn from all rates are 1. An empty table gives an empty
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -166,8 +171,8 @@ def _posteriors(model: Model):
     return run
 
 
-def _fold(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    w = np.ones(len(p))
+def _fold(p: np.ndarray, steps: list[np.ndarray], w: np.ndarray | None = None) -> np.ndarray:
+    w = np.ones(len(p)) if w is None else w.copy()
     for v in steps:
         np.maximum(w - p @ v, 0, out=w)
     return w
@@ -175,19 +180,22 @@ def _fold(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
 
 def _totals(k: int, steps: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, m, all_tokens = np.zeros(k), np.zeros((k, k)), 0.0
+        g, m, all_tokens, moved = np.zeros(k), np.zeros((k, k)), 0.0, 0.0
         for batch in batches:
             t = batch.column(0).to_numpy().astype(np.float64)
             p = batch.column(1).flatten().to_numpy().reshape(-1, k)
-            g += (t * _fold(p, steps)) @ p
+            before = _fold(p, steps[:-1])
+            w = _fold(p, steps[-1:], before)
+            g += (t * w) @ p
+            moved += t @ (w - before) ** 2
             m += (p * t[:, None]).T @ p
             all_tokens += t.sum()
-        yield pa.RecordBatch.from_arrays([pa.array([v.tolist()]) for v in (g, m.reshape(-1), np.array([all_tokens]))], ["g", "m", "t"])
+        yield pa.RecordBatch.from_arrays([pa.array([v.tolist()]) for v in (g, m.reshape(-1), np.array([all_tokens, moved]))], ["g", "m", "t"])
 
     return run
 
 
-def rates(posteriors: DataFrame, names: list[str], targets: dict[str, float], budget: float | None = None, whole: str | None = None, tolerance: float = 1e-5, most_steps: int = 40) -> list[np.ndarray]:
+def rates(posteriors: DataFrame, names: list[str], targets: dict[str, float], budget: float | None = None, whole: str | None = None, tolerance: float = 1e-5, settled: float = 2e-4, most_steps: int = 200) -> list[np.ndarray]:
     """The gradient steps that turn a rate of 1 into each document's rate."""
     k = len(names)
     goal = np.array([max(0.0, targets.get(n, 0.0)) for n in names])
@@ -197,10 +205,10 @@ def rates(posteriors: DataFrame, names: list[str], targets: dict[str, float], bu
     steps: list[np.ndarray] = []
     table = posteriors.select("n_tokens", "posterior")
     aim = inverse = None
-    while len(steps) < most_steps:
+    while True:
         sums = table.mapInArrow(_totals(k, list(steps)), "g array<double>, m array<double>, t array<double>")
         add = lambda c, n: [F.sum(F.element_at(c, i + 1)).alias(f"{c}{i}") for i in range(n)]
-        r = sums.agg(*add("g", k), *(add("m", k * k) + add("t", 1))).first()
+        r = sums.agg(*add("g", k), *(add("m", k * k) + add("t", 2))).first()
         got, total = np.array([r[f"g{i}"] or 0.0 for i in range(k)]), r["t0"] or 0.0
         if total <= 0:
             return []
@@ -213,7 +221,11 @@ def rates(posteriors: DataFrame, names: list[str], targets: dict[str, float], bu
             else:
                 aim = goal * (min(most.values()) if budget is None else budget / total)
         rest = got / total - aim
-        if np.abs(rest).max() < tolerance:
+        moved = (r["t1"] / total) ** 0.5
+        if np.abs(rest).max() < tolerance or (steps and moved < settled):
+            break
+        if len(steps) >= most_steps:
+            warnings.warn(f"mixing: rates not settled after {most_steps} steps: last step {moved:.1e}, totals off by {np.abs(rest).max():.1e} of all tokens", RuntimeWarning, stacklevel=2)
             break
         steps.append(inverse @ rest)
     return steps
