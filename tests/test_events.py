@@ -78,3 +78,10 @@ def test_panos_is_an_extension(spark):
     r = one(spark, "CEF:0|V|PAN-OS|10|TRAFFIC|Log|1|src=192.168.1.100 dst=8.8.8.8 spt=5353 dpt=53 proto=udp act=allow app=dns", registry=extended())
     assert (r.class_uid, r.activity_name, r.src_port, r.dst_port, r.protocol_name) == (4001, "Allow", 5353, 53, "udp")
     assert one(spark, csv).source == ""
+
+
+def test_linux_hostname_behind_many_characters(spark):
+    pad, name = " " * 500, "h" * 450
+    tail = "k: [UFW BLOCK] SRC=1.1.1.1 DST=2.2.2.2 ID=7"
+    assert f"hostname={name};" in one(spark, f"{name}: {tail}").unmapped
+    assert "hostname=far;" in one(spark, f"Jan 2{pad}01:02:03 far {tail}").unmapped

@@ -55,7 +55,7 @@ def _tokens(line: Column, s: dict[str, Column]) -> dict[str, Column]:
         "values": pick(2),
         "stamp": first_group(raw, STAMP, 0),
         "audit": F.when(raw.contains("audit("), first_group(raw, r"audit\((\d+)")),
-        "head": F.split(F.substring(raw, 1, 400), r"\s+", 5),
+        "head": F.split(raw, r"\s+", 5),
         "action": choose([(raw.contains(tag), name) for tag, name in ACTIONS], "UNKNOWN"),
         "digest": event.digest(raw),
     }
