@@ -354,3 +354,12 @@ def test_mixing_settles_with_a_domain_without_target(spark):
     assert 0 < len(steps) < 200 and np.sqrt(np.mean(last**2)) < 4e-4
     with pytest.warns(RuntimeWarning, match="not settled after 3 steps"):
         assert len(mixing.rates(df, names, targets, whole="d3", most_steps=3)) == 3
+
+
+def test_too_many_classes_are_an_error(spark):
+    df = spark.range(201).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.concat(F.lit("l"), "id").alias("lang"))
+    with pytest.raises(ValueError, match="200 languages"):
+        lang_id.learn(df, F.lit(True))
+    marks = df.filter("doc_id < 65").select("doc_id", F.col("doc_id").alias("quality"), F.lit(0).alias("toxic"))
+    with pytest.raises(ValueError, match="64 domains"):
+        mixing.learn(df, marks)

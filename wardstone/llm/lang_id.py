@@ -10,7 +10,8 @@ Codes: up to seven languages have all distinct two-way splits; more have a fixed
 
 Learning uses a bounded sample: of each language, some ``per_language`` labelled documents, ``most_rows`` in all (those of the
 least hash of their id, up to ``longest`` bytes each, so that the sample has a bound in bytes); each contributes
-the hashed counts of its whole text. Everything else covers all documents.
+the hashed counts of its whole text. Everything else covers all documents. All languages are learned; more than
+``most_languages`` (200) are an error, as the model's size and that of the sample grow with them.
 
 Defined results: null texts and texts without a letter give ``und`` with score 0, as do all texts if there is
 nothing to learn from. With one language all other texts get it, with score 1. Rows without an id are predicted
@@ -128,9 +129,11 @@ def learn(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "l
     """Fits the model on a bounded sample of the labelled rows that ``may_learn`` admits; None if there is none."""
     ship(docs.sparkSession)
     rows = docs.filter(may_learn).filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    names = rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    names = rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages + 1).collect()
     if not names:
         return None
+    if len(names) > most_languages:
+        raise ValueError(f"more than {most_languages} languages to learn; give a larger most_languages")
     per_language = min(per_language, max(8, most_rows // len(names)))
     place = F.pmod(F.xxhash64(F.col(row_id), F.lit(17)), F.lit(1 << 40))
     chosen = F.lit(False)

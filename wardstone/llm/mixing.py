@@ -19,7 +19,8 @@ that domain, or it has no target, the budget is as without it.
 
 Tokens are words (runs without ASCII white space). Learning uses a bounded sample: some ``most_docs`` labelled
 documents, as many of each domain where there are enough, of up to ``longest`` bytes (those of the least hash
-of their id); all else covers all documents.
+of their id); all else covers all documents. All domains are learned; more than ``most_domains`` (64) are an error, as
+the driver holds a matrix of their second moments and the used word buckets are dealt out among them.
 
 Defined results: null and empty texts have no tokens; they and all others get a posterior and a rate. Targets
 of domains that the labels don't know are left out and the rest scaled up; domains without a target aim at 0.
@@ -128,7 +129,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(found, pa.binary()), pa.array(shape, pa.binary())], ["domain", "found", "shape"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("quality", "toxic"), text: str = "text", row_id: str = "doc_id", most_docs: int = 2400, longest: int = 200_000) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("quality", "toxic"), text: str = "text", row_id: str = "doc_id", most_docs: int = 2400, longest: int = 200_000, most_domains: int = 64) -> Model | None:
     """Fits the domain classifier on a bounded sample of the labelled documents; None without two domains."""
     ship(docs.sparkSession)
     name = F.concat_ws(" ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in columns])
@@ -137,7 +138,9 @@ def learn(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("quali
         whole = whole & F.col(c).isNotNull()
     place = F.pmod(F.xxhash64(F.col(row_id), F.lit(31)), F.lit(1 << 40))
     marked = labels.filter(whole).groupBy(row_id).agg(F.min(name).alias("domain")).withColumn("place", place)
-    count = {r.domain: r.n for r in marked.groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(64).collect()}
+    count = {r.domain: r.n for r in marked.groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(most_domains + 1).collect()}
+    if len(count) > most_domains:
+        raise ValueError(f"more than {most_domains} domains to learn; give a larger most_domains")
     chosen = F.lit(False)
     for v, n in count.items():
         chosen = chosen | ((F.col("domain") == v) & (F.col("place") < F.lit(int(min(1.0, most_docs / len(count) / n) * (1 << 40)))))
