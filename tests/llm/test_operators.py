@@ -363,3 +363,20 @@ def test_too_many_classes_are_an_error(spark):
     marks = df.filter("doc_id < 65").select("doc_id", F.col("doc_id").alias("quality"), F.lit(0).alias("toxic"))
     with pytest.raises(ValueError, match="64 domains"):
         mixing.learn(df, marks)
+
+
+def _near_copies(n):
+    """Texts that are no copies of each other, each with a near copy."""
+    r = random.Random(12)
+    base = [[f"w{r.randint(0, 9000)}" for _ in range(120)] for _ in range(n)]
+    return [" ".join(b) for b in base], [" ".join([*b[:-1], "other"]) for b in base]
+
+
+def test_near_repeated_ids_with_differing_texts(spark):
+    (a, b, c, d), (a2, b2, c2, d2) = _near_copies(4)
+    rows = [(2, a), (2, b), (5, b2), (1, a2), (7, c), (7, c2), (6, a), (6, d), (8, d2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.groups(df, percent=80).collect())
+    assert got == [(1, 1, True), (2, 1, False), (2, 2, True), (5, 2, False), (6, 1, False), (6, 6, True), (7, 7, False), (7, 7, True), (8, 6, False)]
+    kept = {(r.doc_id, r.text) for r in near_dedup.distinct(df).collect()}
+    assert len(kept) == 4 and {(1, a2), (2, b), (6, d)} < kept and kept - {(1, a2), (2, b), (6, d)} < {(7, c), (7, c2)}
