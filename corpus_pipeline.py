@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over ``documents``.
 
 Each stage takes (spark, docs, sf_dir); docs is what its predecessor kept. All but the last return the columns
-of documents. Rows of empty tables, null texts and null ids pass or go as each operator's docstring defines.
+of documents. Rows of empty tables and null texts pass or go as each operator's docstring defines. Rows with null or
+repeated ids are decided on by id and text, like all others.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardstone.llm import bpe, exact_dedup, lang_id, mixing, near_dedup
+from wardstone.llm._rows import row_key
 from wardstone.llm._store import written
 from wardstone.llm.queries import CLEAN, TARGETS
 
@@ -36,9 +38,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     The clean domain sets the budget: scarce toxic or junk documents never make clean ones go.
     """
     model = mixing.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rates = mixing.mix(docs, model, TARGETS, whole=CLEAN)
-    gone = rates.filter(mixing.copies(F.col("rate"), F.col("doc_id"), F.col("domain") == CLEAN) < 1).select(F.col("doc_id").alias("mx_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["mx_gone"], "left_anti")
+    keyed = docs.withColumn("mx_row", row_key())
+    rates = mixing.mix(keyed, model, TARGETS, row_id="mx_row", whole=CLEAN)
+    gone = rates.filter(mixing.copies(F.col("rate"), F.col("mx_row"), F.col("domain") == CLEAN) < 1).select(F.col("mx_row").alias("mx_gone")).distinct()
+    return keyed.join(gone, keyed["mx_row"] == gone["mx_gone"], "left_anti").drop("mx_row")
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

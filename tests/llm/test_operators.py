@@ -380,3 +380,20 @@ def test_near_repeated_ids_with_differing_texts(spark):
     assert got == [(1, 1, True), (2, 1, False), (2, 2, True), (5, 2, False), (6, 1, False), (6, 6, True), (7, 7, False), (7, 7, True), (8, 6, False)]
     kept = {(r.doc_id, r.text) for r in near_dedup.distinct(df).collect()}
     assert len(kept) == 4 and {(1, a2), (2, b), (6, d)} < kept and kept - {(1, a2), (2, b), (6, d)} < {(7, c), (7, c2)}
+
+
+def test_null_and_repeated_ids_are_decided_on_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    exact = spark.createDataFrame([(None, "x"), (None, "x"), (4, "y"), (4, "y"), (None, "y")], "doc_id long, text string")
+    assert sorted((r.text, r.doc_id) for r in exact_dedup.distinct(exact).collect()) == [("x", None), ("y", 4)]
+    (a, b), (a2, b2) = _near_copies(2)
+    near = spark.createDataFrame([(None, a), (None, a2), (None, b), (3, b2), (3, b2)], "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in near_dedup.distinct(near).collect()]
+    assert len(kept) == 2 and (3, b2) in kept and ((None, a) in kept or (None, a2) in kept)
+    rows, labels = _scarce()
+    junk = {i for i, q, _ in labels if not q}
+    docs = spark.createDataFrame(rows + [(None, t) for i, t in rows if i in junk], "doc_id long, text string")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = sum(r.doc_id is None for r in corpus_pipeline.mixing_stage(spark, docs, str(tmp_path)).collect())
+    assert 0 < left < 0.5 * len(junk)

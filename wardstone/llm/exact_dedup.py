@@ -11,7 +11,7 @@ read by as many keys as there are runs, never by one.
 
 Defined results: a null text counts as empty, and all empty texts are equal. A null id never
 wins against another id; it stays if its whole group has none. Rows that repeat the kept id
-all count as kept (the same row given twice). An empty table gives an empty result. Other
+all count as kept by mark() (the same row given twice); of these, and of a group without an id, distinct() keeps one. An empty table gives an empty result. Other
 columns, of whatever name, are neither read nor changed.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._rows import unique
 from ._store import written
 
 KEY = ["xd_digest", "xd_bytes", "xd_check"]
@@ -78,7 +79,7 @@ def mark(docs: DataFrame, text: str = "text", row_id: str = "doc_id", fan_bits:
 
 
 def distinct(docs: DataFrame, text: str = "text", row_id: str = "doc_id", fan_bits: int = 3, rounds: int = 3) -> DataFrame:
-    """The rows that stay, with their own columns."""
+    """The rows that stay, one of each text, with their own columns."""
     runs = 1 << (fan_bits * rounds)
     keys = _keys(docs[text], docs[row_id], runs)
     entries = written(docs.select(docs[row_id].alias("xd_id"), *keys), "digests")
@@ -87,6 +88,9 @@ def distinct(docs: DataFrame, text: str = "text", row_id: str = "doc_id", fan_bi
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("xd_row"), docs[row_id].alias("xd_id"), *keys)
     rows = rows.select("xd_row", "xd_id", F.struct(F.shiftright("xd_run", fan_bits).alias("xd_parent"), *KEY).alias("xd_at"))
     kept = rows.join(merged, "xd_at").filter(F.col("xd_id").eqNullSafe(F.col("xd_keep")))
+    if not unique(entries, "xd_id"):
+        # Rows of one text that have the kept id, or none, are in one run.
+        kept = kept.dropDuplicates(["xd_at"])
     return kept.select("xd_row.*")
 
 

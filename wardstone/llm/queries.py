@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, exact_dedup, lang_id, mixing, near_dedup, quality, token_counts, token_files, topk
+from ._rows import row_key
 from ._store import crc_mod
 
 #: Shares of expected tokens that op10 and the pipeline aim at, by the labels' quality and toxic.
@@ -64,8 +65,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = mixing.learn(docs, _table(spark, sf_dir, "labels"))
-    out = mixing.mix(docs, model, TARGETS, whole=CLEAN)
-    return out.select("doc_id", "n_tokens", "domain", "posterior", "rate", mixing.copies(F.col("rate"), F.col("doc_id"), F.col("domain") == CLEAN).alias("copies"))
+    out = mixing.mix(docs.withColumn("mx_row", row_key()), model, TARGETS, row_id="mx_row", whole=CLEAN)
+    copies = mixing.copies(F.col("rate"), F.col("mx_row"), F.col("domain") == CLEAN)
+    return out.select(F.col("mx_row.id").alias("doc_id"), "n_tokens", "domain", "posterior", "rate", copies.alias("copies"))
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_chat_formatting, op3_token_counts, op4_token_files, op5_language_id, op6_minhash_near_dedup, op7_exact_topk, op8_byte_bpe, op9_exact_dedup, op10_mixing)}
