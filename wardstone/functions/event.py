@@ -60,6 +60,13 @@ EVENT = _struct(
 )
 FIELDS = EVENT.fieldNames()
 
+#: Types of what parsers give, where it is not text.
+PART_TYPES = {
+    **dict.fromkeys(("class_uid", "activity", "severity_id", "status_id"), "int"),
+    **dict.fromkeys(("time", "src_port", "dst_port", "protocol_num", "packets", "bytes"), "long"),
+    **{n: EVENT[n].dataType for n in ("observables", "unmapped")},
+}
+
 # Activities as parsers give them.
 UNKNOWN, ALLOW, DENY, DETECT = 0, 1, 2, 6
 

@@ -10,14 +10,14 @@ from ..functions.text import choose, entries, first_group, has_any, is_ipv4, map
 
 NAME = "cisco_asa"
 
-# Message numbers and severities.
+# Message numbers, severities and the patterns below.
 DENY_IDS = ["106023", "106015", "313004", "313005", "305006", "402119", "110002"]
 ALLOW_IDS = ["302013", "302015", "302018", "302021", "305011", "305012", "302014", "302016", "725001", "725002", "602101"]
 SEVERITY = {"0": 5, "1": 5, "2": 4, "3": 4, "4": 3, "5": 2}
 VERBS = {"built": "Built", "teardown": "Teardown", "deny": "Deny", "denied": "Deny", "permitted": "Permit"}
 PROTOCOL = {"tcp": 6, "udp": 17, "icmp": 1}
 
-HEADER = r"%ASA-([0-9])-([0-9]+):[ \t\n\f\r]*(.*)"
+HEADER = r"%ASA-[0-9]-[0-9]+:[ \t\n\f\r]*.*"
 NAMED = r"(inside|outside):([0-9.]+)(?:/([0-9]+))?"
 SLASHED = r"(inside|outside)/([0-9.]+)\(([0-9]+)\)"
 FROM = r"from[ \t\n\f\r]+([0-9]+\.[0-9.]+)(?:/([0-9]+))?"
@@ -36,18 +36,20 @@ def endpoint(ip: Column, port: Column) -> Column:
     return F.when(is_ipv4(ip), F.struct(ip.alias("ip"), n.cast("long").alias("port")))
 
 
-def _all(raw: Column, pattern: str, ip: int, port: int) -> Column:
+def _all(raw: Column, mark: str, pattern: str, ip: int, port: int) -> Column:
+    """All endpoints of a pattern, which only lines with ``mark`` can hold."""
     pick = lambda g: F.regexp_extract_all(raw, F.lit(pattern), F.lit(g))
-    return F.filter(F.zip_with(pick(ip), pick(port), endpoint), lambda e: e.isNotNull())
+    found = F.filter(F.zip_with(pick(ip), pick(port), endpoint), lambda e: e.isNotNull())
+    return F.when(raw.contains(mark), found).otherwise(F.array().cast(f"array<{event.ENDPOINT}>"))
 
 
 def endpoints(raw: Column) -> dict[str, Column]:
     """Candidates: named endpoints (colon form before slash form), the first 'from', the last 'to', 'for IP'."""
     return {
-        "named": F.concat(_all(raw, NAMED, 2, 3), _all(raw, SLASHED, 2, 3)),
-        "source": endpoint(first_group(raw, FROM, 1), first_group(raw, FROM, 2)),
-        "target": F.element_at(F.concat(F.array(F.lit(None).cast(event.ENDPOINT)), _all(raw, TO, 1, 2)), -1),
-        "single": endpoint(first_group(raw, FOR_IP, 1), F.lit("")),
+        "named": F.concat(_all(raw, "side:", NAMED, 2, 3), _all(raw, "side/", SLASHED, 2, 3)),
+        "source": F.when(raw.contains("from"), endpoint(first_group(raw, FROM, 1), first_group(raw, FROM, 2))),
+        "target": F.try_element_at(_all(raw, "to", TO, 1, 2), F.lit(-1)),
+        "single": F.when(raw.contains("for IP"), endpoint(first_group(raw, FOR_IP, 1), F.lit(""))),
     }
 
 
@@ -66,16 +68,23 @@ def _raw(line: Column, s: dict[str, Column]) -> dict[str, Column]:
 
 def _parts(line: Column, s: dict[str, Column]) -> dict[str, Column]:
     raw = s["raw"]
-    return {**{n: first_group(raw, HEADER, g) for g, n in enumerate(("grade", "number", "message"), 1)}, "low_raw": F.lower(raw), **endpoints(raw)}
+    return {"header": first_group(raw, HEADER, 0), "low_raw": F.lower(raw), **endpoints(raw)}
+
+
+def _header(line: Column, s: dict[str, Column]) -> dict[str, Column]:
+    """The header's parts: one digit of severity, the message's number up to a colon, the message."""
+    rest = F.substr(s["header"], F.lit(8))
+    number = F.substring_index(rest, ":", 1)
+    return {"grade": F.substr(s["header"], F.lit(6), F.lit(1)), "number": number, "message": F.ltrim(F.substr(rest, F.length(number) + F.lit(2)), F.lit(" \t\n\f\r"))}
 
 
 def _endpoints(line: Column, s: dict[str, Column]) -> dict[str, Column]:
     source, target = source_and_target(s)
-    return {"from": source, "to": target, "low": F.lower(s["message"]), "word": first_group(s["message"], r"^\s*(\S+)"), "proto": F.lower(first_group(s["raw"], r"(?i)\b(TCP|UDP|ICMP)\b"))}
+    return {"from": source, "to": target, "low": F.lower(s["message"]), "word": first_group(s["message"], r"^\s*(\S+)"), "proto": first_group(s["low_raw"], r"\b(tcp|udp|icmp)\b")}
 
 
 #: What each step adds to the columns that parse() finds.
-STEPS = (_raw, _parts, _endpoints)
+STEPS = (_raw, _parts, _header, _endpoints)
 
 
 def activity(number: Column, low: Column) -> Column:
@@ -141,5 +150,5 @@ def parse(line: Column, s: dict[str, Column], ingest_ms: Column) -> dict[str, Co
         "bytes": volume(low),
         "unmapped": entries(("asa.message_id", number), ("asa.severity", grade), ("asa.connection_id", first_group(raw, r"connection[ \t\n\f\r]+([0-9]+)"))),
         "time_source": F.when(stamp.isNotNull(), "line").otherwise("ingest"),
-        "error": F.when(~raw.rlike(HEADER), "cisco_asa: no %ASA header"),
+        "error": F.when(s["header"] == "", "cisco_asa: no %ASA header"),
     }

@@ -23,7 +23,7 @@ PROTOCOL = {"6": "tcp", "17": "udp", "1": "icmp"}
 USED = [k for k in KNOWN if k not in ("vd", "eventtype")] + ["version"]
 
 #: key=value, the value quoted with escapes, up to the line's end if its quote stays open, or bare.
-TOKEN = r'([^= \t]*)=("(?:\\["\\]|[^"])*+"?|[^ \t]*)'
+TOKEN = r'([^= \t]*+)=("(?:[^"\\]++|\\["\\]|\\)*+"?|[^ \t]*+)'
 
 
 def detect(line: Column) -> Column:
@@ -42,8 +42,9 @@ def tokens(line: Column) -> tuple[Column, Column]:
 
 
 def unquoted(v: Column) -> Column:
+    """Without a backslash there is no quote inside, so those at the ends are all."""
     inner = F.regexp_replace(F.regexp_replace(v, r'^"((?:\\["\\]|[^"])*+)"?$', "$1"), r'\\(["\\])', "$1")
-    return F.when(v.startswith('"'), inner).otherwise(v)
+    return choose([(~v.startswith('"'), v), (~v.contains("\\"), F.btrim(v, F.lit('"')))], inner)
 
 
 def _tokens(line: Column, s: dict[str, Column]) -> dict[str, Column]:
@@ -56,7 +57,8 @@ def _raw_fields(line: Column, s: dict[str, Column]) -> dict[str, Column]:
 
 
 def _fields(line: Column, s: dict[str, Column]) -> dict[str, Column]:
-    return {k: unquoted(s[f"raw_{k}"]) for k in USED}
+    others = F.array_sort(F.array_except(s["keys"], F.array(*[F.lit(k) for k in KNOWN])))
+    return {**{k: unquoted(s[f"raw_{k}"]) for k in USED}, "others": F.slice(others, 1, event.UNMAPPED_MOST)}
 
 
 #: What each step adds to the columns that parse() finds.
@@ -77,9 +79,7 @@ def timestamp(kv) -> Column:
 
 def unmapped(s: dict[str, Column]) -> Column:
     """Keys without a field of their own, the first 20 by their bytes; of equal keys the last."""
-    pairs = F.arrays_zip(s["keys"].alias("k"), s["values"].alias("v"))
-    keys = F.slice(F.array_sort(F.array_except(s["keys"], F.array(*[F.lit(k) for k in KNOWN]))), 1, event.UNMAPPED_MOST)
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: unquoted(F.element_at(F.filter(pairs, lambda p: p["k"] == k), 1)["v"])))
+    return F.map_from_arrays(s["others"], F.transform(s["others"], lambda k: unquoted(F.get(s["values"], (F.array_position(s["keys"], k) - 1).cast("int")))))
 
 
 def parse(line: Column, s: dict[str, Column]) -> dict[str, Column]:

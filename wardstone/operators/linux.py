@@ -32,7 +32,7 @@ MESSAGES = [
 ]
 
 #: KEY=value after white space or at the beginning.
-PAIR = r"(?<![^ \t\n\f\r])([A-Z]+)=([^ \t\n\f\r]*)"
+PAIR = r"(?<![^ \t\n\f\r])([A-Z]++)=([^ \t\n\f\r]*+)"
 STAMP = r"^(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[ \t]+([0-9]{1,2})[ \t]+([0-9]{2}):([0-9]{2}):([0-9]{2})"
 
 
@@ -55,7 +55,6 @@ def _tokens(line: Column, s: dict[str, Column]) -> dict[str, Column]:
         "values": pick(2),
         "stamp": first_group(raw, STAMP, 0),
         "audit": F.when(raw.contains("audit("), first_group(raw, r"audit\((\d+)")),
-        "head": F.split(raw, r"\s+", 5),
         "action": choose([(raw.contains(tag), name) for tag, name in ACTIONS], "UNKNOWN"),
         "digest": event.digest(raw),
     }
@@ -84,11 +83,10 @@ def direction(inward: Column, outward: Column) -> Column:
     return choose([((inward != "") & (outward != ""), "Bidirectional"), (inward != "", "Inbound"), (outward != "", "Outbound")], "")
 
 
-def hostname(words: Column) -> Column:
-    """From the first words of a line: the fourth behind a stamp, else the first without a colon if there are more."""
-    n = F.size(words)
-    word = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit(""))
-    return choose([((n >= 4) & word(0).isin(MONTHS), word(3)), (n >= 2, F.regexp_replace(word(0), ":$", ""))], "")
+def hostname(raw: Column) -> Column:
+    """The fourth word behind a stamp, else the first without a colon, if there are so many."""
+    stamped = first_group(raw, rf"^(?:{'|'.join(MONTHS)})\s+\S+\s+\S+\s+(\S+)")
+    return F.coalesce(or_null(stamped), first_group(raw, r"^(\S*?):?\s"))
 
 
 def ssh_user(raw: Column) -> Column:
@@ -139,7 +137,7 @@ def parse(line: Column, s: dict[str, Column], ingest_ms: Column, year: Column, z
         "action": action,
         "observables": F.filter(F.array(seen("source_ip", kv("SRC")), seen("destination_ip", kv("DST"))), lambda o: o.isNotNull()),
         "unmapped": entries(
-            ("hostname", hostname(s["head"])),
+            ("hostname", hostname(raw)),
             ("interface_in", kv("IN")),
             ("interface_out", kv("OUT")),
             ("mac", kv("MAC")),

@@ -6,28 +6,36 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import event
-from ..functions.text import BLANK, choose, entries, is_ip, mapped, or_null, trimmed, without_line_end
+from ..functions.text import choose, entries, is_ip, mapped, or_null, trimmed, without_line_end
 
 NAME = "suricata"
 
-SCHEMA = (
-    "timestamp string, event_type string, src_ip string, dest_ip string, src_port bigint, dest_port bigint, proto string, app_proto string, "
-    "flow_id bigint, pcap_cnt bigint, "
-    "alert struct<action:string,gid:bigint,signature_id:bigint,rev:bigint,signature:string,category:string,severity:bigint>, "
-    "flow struct<pkts_toserver:bigint,pkts_toclient:bigint,bytes_toserver:bigint,bytes_toclient:bigint>, "
-    "http struct<hostname:string,url:string,http_user_agent:string,http_method:string,status:bigint,http_content_type:string>, "
-    "dns map<string,string>, broken string"
-)
-TEXT_KEYS = "timestamp|event_type|src_ip|dest_ip|proto|app_proto|signature|category|hostname|url|http_user_agent|http_method|http_content_type"
-#: A text field that holds something else than text or null.
-NOT_TEXT = rf'(?<!\\)"(?:{TEXT_KEYS})"\s*+:\s*+(?!"|null\b)'
+FIELDS = {
+    "": {"timestamp": "string", "event_type": "string", "src_ip": "string", "dest_ip": "string", "src_port": "bigint", "dest_port": "bigint", "proto": "string", "app_proto": "string", "flow_id": "bigint", "pcap_cnt": "bigint"},
+    "alert": {"action": "string", "gid": "bigint", "signature_id": "bigint", "rev": "bigint", "signature": "string", "category": "string", "severity": "bigint"},
+    "flow": {n: "bigint" for n in ("pkts_toserver", "pkts_toclient", "bytes_toserver", "bytes_toclient")},
+    "http": {"hostname": "string", "url": "string", "http_user_agent": "string", "http_method": "string", "status": "bigint", "http_content_type": "string"},
+}
+TEXTS = [(part, n) for part, names in FIELDS.items() for n, kind in names.items() if kind == "string"]
+
+
+def schema(text: str = "string") -> str:
+    """The decoded part of a line; ``text`` is the type of its text fields."""
+    own = lambda names: [f"{n}:{text if k == 'string' else k}" for n, k in names.items()]
+    parts = [f"{part}:struct<{','.join(own(names))}>" for part, names in FIELDS.items() if part]
+    return f"struct<{','.join([*own(FIELDS['']), *parts, 'dns:map<string,string>', 'broken:string'])}>"
+
+
+OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+#: Lines in which a text field could hold something else than text or null; the key may also stand elsewhere.
+MAYBE_NOT_TEXT = rf'"(?:{"|".join(dict.fromkeys(n for _, n in TEXTS))})"\s*+:\s*+(?!"|null\b)'
 STAMP = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:[.,]\d+)?(?:Z|[+-]\d\d:?\d\d)$"
 SEVERITY = {1: 4, 2: 3, 3: 2}
 PROTOCOL = {"tcp": 6, "udp": 17, "icmp": 1}
 
 
 def detect(line: Column) -> Column:
-    return line.rlike(rf"^{BLANK}*\{{") & line.contains('"event_type"')
+    return line.contains('"event_type"') & trimmed(line).startswith("{")
 
 
 def _raw(line: Column, s: dict[str, Column]) -> dict[str, Column]:
@@ -35,13 +43,30 @@ def _raw(line: Column, s: dict[str, Column]) -> dict[str, Column]:
 
 
 def _decoded(line: Column, s: dict[str, Column]) -> dict[str, Column]:
-    return {"eve": F.from_json(s["raw"], SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})}
+    return {"eve": F.from_json(s["raw"], schema(), OPTIONS)}
+
+
+def not_text(raw: Column) -> Column:
+    """Whether a decoded text field holds something else than text or null. Only lines that might are decoded again."""
+    again = F.from_json(raw, schema("variant"), OPTIONS)
+    kinds = [F.schema_of_variant(again[part][n] if part else again[n]) for part, n in TEXTS]
+    return F.when(raw.rlike(MAYBE_NOT_TEXT), ~F.coalesce(F.forall(F.array(*kinds), lambda k: k.isNull() | k.isin("STRING", "VOID")), F.lit(True))).otherwise(False)
+
+
+def is_one_value(raw: Column) -> Column:
+    """Whether nothing follows the first value: the line must be all of an array, and all of an object's field.
+
+    The second is only asked where a bracket behind an object could have closed the first.
+    """
+    alone = F.coalesce(F.json_array_length(F.concat(F.lit("["), raw, F.lit("]"))) == 1, F.lit(False))
+    return alone & (~raw.rlike(r"\}\s*+\]") | F.json_object_keys(F.concat(F.lit('{"a":'), raw, F.lit("}"))).isNotNull())
 
 
 def _fields(line: Column, s: dict[str, Column]) -> dict[str, Column]:
     e = s["eve"]
     text = lambda c: F.coalesce(c, F.lit(""))
     return {
+        "invalid": e.isNull() | e["broken"].isNotNull() | ~is_one_value(s["raw"]) | not_text(s["raw"]),
         "kind": text(e["event_type"]),
         "grade": F.coalesce(e["alert"]["severity"], F.lit(0).cast("long")),
         "signature": text(e["alert"]["signature"]),
@@ -119,7 +144,7 @@ def parse(line: Column, s: dict[str, Column], ingest_ms: Column) -> dict[str, Co
         "error": choose(
             [
                 (trimmed(raw) == "", "suricata: empty line"),
-                (e.isNull() | e["broken"].isNotNull() | raw.rlike(NOT_TEXT) | ~raw.rlike(rf"\}}{BLANK}*$"), "suricata: invalid JSON"),
+                (s["invalid"], "suricata: invalid JSON"),
                 (kind == "", "suricata: missing event_type"),
                 (wrong(source) | wrong(target), "suricata: invalid ip"),
             ],

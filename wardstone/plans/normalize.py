@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import event
+from ..functions.text import choose
 from ..operators import registry as sources
 from ..operators.registry import Context, Registry
 
@@ -30,53 +35,85 @@ def normalize(
     of its own gets ``ingest_ms`` (the present, if None). Linux stamps lie in ``assume_year`` (the present one) and
     ``linux_zone``. ``uid_mode`` 'compat' takes Linux's ID field as identifier, 'safe' always a digest of the line.
 
-    Each source's lines are a branch of their own, so that Catalyst prunes, pushes down and compiles each parser by
-    itself and fields that nobody reads are not parsed; branches only scan and detect again, nothing is shuffled.
-    Parts that a parser uses more than once are columns of an earlier projection.
+    Each line is read and routed once, and nothing is shuffled. All parsers stand side by side in staged projections;
+    a parser's columns are evaluated for its own lines only, and what a parser uses more than once is a column of an
+    earlier stage. Fields that nobody reads are pruned from all stages.
     """
-    registry = registry or sources.default()
+    options = (line, ingest_ms, assume_year, linux_zone, uid_mode)
+    x = _default_expressions(SparkContext._gateway, *options) if registry is None else _expressions(registry, *options)
+    own = [F.col(f"`{c}`") for c in lines.columns if c not in {"source", *event.FIELDS}]
+    df = lines.select(*own, *x.routed)
+    for stage in x.stages:
+        df = df.select("*", *stage)
+    df = df.select(*own, "source", *x.parts)
+    for stage in x.verdict:
+        df = df.select("*", *stage)
+    return df.select(*own, "source", *x.fields)
+
+
+@dataclass(frozen=True)
+class _Expressions:
+    """The columns of each projection. None of them depends on the frame, so those of the default sources are made once."""
+
+    routed: list[Column]
+    stages: list[list[Column]]
+    parts: list[Column]
+    verdict: list[list[Column]]
+    fields: list[Column]
+
+
+@lru_cache(16)
+def _default_expressions(gateway: object, *options) -> _Expressions:
+    return _expressions(sources.default(), *options)
+
+
+def _expressions(registry: Registry, line: str, ingest_ms: int | None, assume_year: int | None, linux_zone: str, uid_mode: str) -> _Expressions:
     context = _context(ingest_ms, assume_year, linux_zone)
-    text = F.col(f"`{line}`")
-    own = [c for c in lines.columns if c not in {"source", *event.FIELDS}]
-    routed = lines.select(*[F.col(f"`{c}`") for c in own], registry.detect(text).alias("source"))
-    out = _unrouted(routed.filter(F.col("source") == ""))
-    for s in registry.ordered():
-        keep = [F.col(f"`{c}`") for c in [*own, "source"]]
-        df, have = routed.filter(F.col("source") == s.name), []
-        for step in s.steps:
-            new = step(text, {n: F.col(f"__{n}") for n in have})
-            df = df.select("*", *[c.alias(f"__{n}") for n, c in new.items()])
-            have += new
-        p = s.parse(text, {n: F.col(f"__{n}") for n in have}, context)
-        if uid_mode == "safe" and s.name == "linux":
-            p = p | {"uid": event.digest(p["raw"])}
-        p = event.blank() | p
-        df = df.select(*keep, *[c.alias(f"_p_{n}") for n, c in p.items()])
-        p = {n: F.col(f"_p_{n}") for n in p}
-        df = df.select("*", event.canonical_activity(p["class_uid"], p["activity"]).alias("_p_activity_id"))
-        p["activity_id"] = F.col("_p_activity_id")
-        # The generator is a fence: filters on the verdict stay above it and don't repeat each field's expression.
-        broken = F.when(p["error"].isNull(), event.violation(event.parts(p)))
-        verdict = F.explode(F.array(F.struct(p["error"].cast("string").alias("error"), broken.alias("broken"))))
-        df = df.select("*", verdict.alias("__x"))
-        error, broken = F.col("__x.error"), F.col("__x.broken")
-        df = df.select("*", (F.coalesce(error, F.concat("source", F.lit(": "), broken)) if s.validates else error).alias("parse_error"))
-        good = F.col("parse_error").isNull()
-        df = df.select(
-            *keep,
+    found = registry.ordered()
+    routed = [F.col(f"`{line}`").alias("__line"), registry.detect(F.col(f"`{line}`")).alias("source")]
+    text, source = F.col("__line"), F.col("source")
+    have: dict[str, list[str]] = {s.name: [] for s in found}
+    seen = lambda s: {n: F.col(f"__{s.name}_{n}") for n in have[s.name]}
+    stages = []
+    for k in range(max((len(s.steps) for s in found), default=0)):
+        new = {s.name: s.steps[k](text, seen(s)) for s in found if k < len(s.steps)}
+        stages.append([F.when(source == s, c).alias(f"__{s}_{n}") for s, cs in new.items() for n, c in cs.items()])
+        for s, cs in new.items():
+            have[s] += cs
+    parts = {s.name: event.blank() | s.parse(text, seen(s), context) for s in found}
+    if uid_mode == "safe" and "linux" in parts:
+        parts["linux"]["uid"] = event.digest(parts["linux"]["raw"])
+    names = list(dict.fromkeys(n for p in parts.values() for n in p))
+    p = {n: F.col(f"_p_{n}") for n in [*names, "activity_id"]}
+    # The generator is a fence: filters on the verdict stay above it and don't repeat each field's expression.
+    broken = F.when((source != "") & p["error"].isNull(), event.violation(event.parts(p)))
+    fence = F.explode(F.array(F.struct(p["error"].alias("error"), broken.alias("broken")))).alias("__x")
+    error, broken = F.col("__x.error"), F.col("__x.broken")
+    strict = source.isin([s.name for s in found if s.validates])
+    good = (source != "") & F.col("parse_error").isNull()
+    return _Expressions(
+        routed,
+        stages,
+        [_by_source(source, {s: v[n] for s, v in parts.items() if n in v}, n).alias(f"_p_{n}") for n in names],
+        [
+            [event.canonical_activity(p["class_uid"], p["activity"]).alias("_p_activity_id")],
+            [fence],
+            [F.coalesce(error, F.when(strict, F.concat("source", F.lit(": "), broken))).alias("parse_error")],
+        ],
+        [
             *[F.when(good, c).alias(f) for f, c in event.build(p).items()],
-            "parse_error",
+            F.col("parse_error"),
             F.when(good, broken).alias("validation_error"),
-            F.when(good, p["time_source"].cast("string")).alias("time_source"),
+            F.when(good, p["time_source"]).alias("time_source"),
             F.when(good, F.to_date(F.timestamp_millis(p["time"]))).alias("event_date"),
-        )
-        out = out.unionByName(df)
-    return out
+        ],
+    )
 
 
-def _unrouted(df: DataFrame) -> DataFrame:
-    none = {f.name: f.dataType for f in event.EVENT.fields} | {"parse_error": "string", "validation_error": "string", "time_source": "string", "event_date": "date"}
-    return df.select("*", *[F.lit(None).cast(t).alias(n) for n, t in none.items()])
+def _by_source(source: Column, of: dict[str, Column], name: str) -> Column:
+    """The value that a line's source gives, in the type of that part; null for other lines."""
+    kind = event.PART_TYPES.get(name, "string")
+    return choose([(source == s, c.cast(kind)) for s, c in of.items()], F.lit(None).cast(kind))
 
 
 def event_of(df: DataFrame) -> Column:

@@ -208,6 +208,16 @@ EVE_REJECTS = [
     (10, EVE % ("2024-01-01T00:00:00Z", "fe80::1", "80"), "suricata: invalid ip"),
     (11, EVE % ("2024-01-01T00:00:00Z", "1.1.1.1", "80"), None),
     (12, EVE % ("2024-01-01T00:00:00Z", "1.1.1.1", "-1"), "suricata: port out of range"),
+    (13, '{"event_type":"smtp","src_ip":"1.1.1.1","email":{"url":["http://x/a"]}}', None),
+    (14, '{"event_type":"alert","src_ip":"1.1.1.1","alert":{"signature":"s","metadata":{"category":["x"]}}}', None),
+    (15, EVE % ("2024-01-01T00:00:00Z", "1.1.1.1", "80") + ' {"a":1}', "suricata: invalid JSON"),
+    (16, EVE % ("2024-01-01T00:00:00Z", "1.1.1.1", "80") + " x}", "suricata: invalid JSON"),
+    (17, EVE % ("2024-01-01T00:00:00Z", "1.1.1.1", "80") + "] [{}", "suricata: invalid JSON"),
+    (18, EVE % ("2024-01-01T00:00:00Z", "1.1.1.1", "80") + ',{"a":1}', "suricata: invalid JSON"),
+    (19, '{"event_type":"http","src_ip":"1.1.1.1","http":{"url":["x"]}}', "suricata: invalid JSON"),
+    (20, '{"event_type":"http","src_ip":null,"http":{"url":null},"tags":[{"a":1}]}  ', None),
+    (21, "{'event_type':'http'}", "suricata: invalid JSON"),
+    (22, '{"event_type":"alert","alert":{"action":true}}', "suricata: invalid JSON"),
 ]
 
 
