@@ -77,7 +77,7 @@ class Counter:
         self.alone: dict[int, bool] = {}
         self._forget()
         self.pieces = Remembered(self.pattern.findall, self._pieces)
-        self.parts = Remembered(parts, self._parts, 100_000)
+        self.parts = Remembered(parts, self._parts)
 
     def _forget(self) -> None:
         """Prefixes as a tree: (node, byte) -> node; of each node its last token and its count. Node 0 is empty."""

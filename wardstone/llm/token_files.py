@@ -3,7 +3,9 @@
 Texts are range-partitioned by id and sorted, so that shards in order hold all documents in ascending
 order. Each task encodes its partition and writes one shard in the shared folder: ``.ids`` (unsigned
 little-endian integers, 16 bits wide if the vocabulary allows, else 32), ``.offsets`` (64-bit offsets of
-the documents in the shard, one more than documents) and the row ids beside them. A task that runs
+the documents in the shard, one more than documents) and the row ids beside them. (Ids instead of texts in
+the shuffle would need a table of them first, as range bounds are sampled; they are no smaller than texts of
+rare words.) A task that runs
 again writes its own files; only those it reports are in the manifest. Prefix sums of the shards'
 lengths give each shard's base, so a document's place in the whole is base plus offset.
 
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._pieces import Remembered, text_blocks
+from ._pieces import Remembered, is_plain, plain_words, text_blocks
 from ._store import new_path, ship, written
 
 MANIFEST = T.StructType([T.StructField(n, T.LongType()) for n in ("shard", "docs", "tokens")] + [T.StructField("path", T.StringType()), T.StructField("width", T.LongType())])
@@ -58,7 +60,9 @@ class Library:
         self.spaced = np.zeros(max(vocab.values()) + 1, bool)
         self.spaced[[i for t, i in vocab.items() if t[0] == "\u0120"]] = True
         self.run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.remembered = Remembered(self.pattern, self._pieces) if self.pattern else None
+        self.line = vocab.get("\u010a", -1)
+        self.remembered = Remembered(self.pattern, self._encode) if self.pattern else None
+        self.words = Remembered(lambda t: plain_words(t)[1:], self._words)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, by the library, each by itself."""
@@ -70,28 +74,34 @@ class Library:
         at = (at * self.width).tolist()
         return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece. Words behind a space go to the library in strings of 256: there they are split alike, and
-        a token that begins with a space begins a word."""
-        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+    def _joined(self, words: list[str], begins: np.ndarray) -> dict[str, bytes]:
+        """The ids of words that go to the library in strings of 256: there they are split alike, and the marked tokens begin one."""
         rows = ["".join(words[k : k + 256]) for k in range(0, len(words), 256)]
         ids = np.fromiter(chain.from_iterable(e.ids for e in self.run(rows, add_special_tokens=False)), f"<u{self.width}")
-        first = np.flatnonzero(self.spaced[ids])
-        if len(first) != len(words):
-            return self._encode(pieces)
-        of = dict(zip(words, self._cut(ids, np.append(first, len(ids))), strict=True))
-        rest = [p for p in pieces if p not in of]
-        of.update(zip(rest, self._encode(rest), strict=True))
-        return [of[p] for p in pieces]
+        first = np.flatnonzero(begins[ids])
+        found = self._cut(ids, np.append(first, len(ids))) if len(first) == len(words) else self._encode(words)
+        return dict(zip(words, found, strict=True))
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words of plain texts, a space before all that don't begin with a line feed."""
+        full = [w if w[0] == "\n" else " " + w for w in words]
+        lines = np.zeros(len(self.spaced), bool)
+        lines[self.line] = True
+        of = self._joined([w for w in full if w[0] == " "], self.spaced)
+        of |= self._joined([w for w in full if w[0] == "\n" and len(w) > 1], lines)
+        of["\n"] = self._encode(["\n"])[0]
+        return [of[w] for w in full]
 
     def encode(self, texts: list[str], end: int) -> Iterator[bytes]:
         """The ids of each text and the end id; texts with an added token's string go to the library as they are."""
         last = np.array([end], f"<u{self.width}").tobytes()
-        whole = [self.pattern is None or any(a in t for a in self.added) for t in texts]
-        direct = iter(self._encode([t for t, w in zip(texts, whole, strict=True) if w]) if any(whole) else ())
-        known = self.remembered([t for t, w in zip(texts, whole, strict=True) if not w]) if self.remembered else iter(())
-        for w in whole:
-            yield (next(direct) if w else b"".join(next(known))) + last
+        kind = ["whole" if self.pattern is None or any(a in t for a in self.added) else "plain" if is_plain(t) else "odd" for t in texts]
+        of = lambda k: [t for t, x in zip(texts, kind, strict=True) if x == k]
+        plain = of("plain")
+        heads, rest = iter(self._encode([plain_words(t)[0] for t in plain])), self.words(plain)
+        found = {"whole": iter(self._encode(of("whole"))), "odd": map(b"".join, self.remembered(of("odd"))) if self.remembered else iter(())}
+        for x in kind:
+            yield (next(heads) + b"".join(next(rest)) if x == "plain" else next(found[x])) + last
 
 
 @lru_cache(2)
