@@ -20,9 +20,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a folder of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a folder of our own where it is unset and
+    all runs in one process. On a cluster it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="wardstone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

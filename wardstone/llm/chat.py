@@ -36,7 +36,7 @@ ORDER = ["message", "edit", "regenerate", "delta"]
 def fold(events: DataFrame) -> DataFrame:
     """Events -> final messages: conv_id, pos (from 0), role, text."""
     rank = F.array_position(F.array(*[F.lit(x) for x in ORDER]), F.coalesce("op", F.lit("message")))
-    own = F.coalesce(F.col("msg").cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")))
+    own = F.struct(F.col("msg").cast("string").alias("msg"), F.when(F.col("msg").isNull(), F.monotonically_increasing_id()).alias("row"))
     e = events.select(
         "conv_id",
         own.alias("msg"),

@@ -3,7 +3,9 @@
 Each row belongs to one of ``2 ** (fan_bits * rounds)`` runs, by a hash of its id and text.
 A run holds one entry for each distinct text: its digest, the smallest id and a row count.
 In round j, runs whose numbers agree but for their lowest ``fan_bits`` bits meet (a binomial
-tree of that radix): their entries are merged by the key and the smallest id is kept. The key
+tree of that radix): each is sorted by its key and reduced before it is sent, the exchanged runs are
+merged in the order of the key, and of neighbours that agree the smallest id is kept (a sort aggregate
+on either side: no hash table, so a run may be larger than memory). The key
 is a SHA-256 digest together with the byte length and a second, independent 64-bit hash, so
 each merge at each level verifies that entries agree in all three. After the last round one
 run is left. The answer goes down the same tree, so that a text with a third of all rows is
@@ -42,13 +44,13 @@ def _keys(text: Column, row_id: Column, runs: int) -> list[Column]:
 
 
 def _up(df: DataFrame, fan_bits: int) -> DataFrame:
-    """Runs meet at their parents; sorted, verified, the smallest id retained."""
-    return (
-        df.withColumn("xd_run", F.shiftright("xd_run", fan_bits))
-        .groupBy("xd_run", *KEY)
-        .agg(F.min("xd_keep").alias("xd_keep"), F.sum("xd_n").alias("xd_n"))
-        .sortWithinPartitions("xd_run", *KEY)
-    )
+    """Runs meet at their parents and are merged in order; the smallest id is retained.
+
+    The minimum is one of a struct, which Spark aggregates over sorted input only.
+    """
+    least = F.min(F.struct(F.col("xd_keep").isNull().alias("none"), F.col("xd_keep").alias("id")))
+    merged = df.withColumn("xd_run", F.shiftright("xd_run", fan_bits)).groupBy("xd_run", *KEY).agg(least.alias("xd_least"), F.sum("xd_n").alias("xd_n"))
+    return merged.select("xd_run", *KEY, F.col("xd_least.id").alias("xd_keep"), "xd_n")
 
 
 def tree_merge(entries: DataFrame, fan_bits: int, rounds: int) -> DataFrame:

@@ -3,14 +3,16 @@
 A classifier learned from a labelled table gives each document's posterior over domains (the distinct label
 tuples). Document i gets a rate w_i >= 0, its expected number of copies, such that the expected domain totals
 sum(w_i * tokens_i * posterior_i) match ``budget * target``. The rates minimise the squared distance between
-the two, in the metric of the domains' second moments, by projected gradient steps from w = 1: each step is
-w_i = max(0, w_i - posterior_i . v) for a vector v of one number a domain. The steps end when the totals match, or when
-a step moves the rates by less than ``settled`` (root mean square over tokens). The latter is the usual end where a domain
-without a target aims at 0, as posteriors are positive: from there on the distance hardly falls, while further steps
-would slowly move weight to the few purest documents. So the rates are near the minimum, not at it. After ``most_steps``
-without either a RuntimeWarning gives the last step and the distance left. So only these few numbers pass
-through the driver: each pass over the posteriors folds all steps so far and sums up the totals, and no state
-of documents is written between passes.
+the two by projected gradient steps from w = 1: each step is w_i = max(0, w_i - posterior_i . v) for a vector v of one
+number a domain. The gradient is taken in the metric of the domains' second moments over the documents whose rate is
+above 0: those at the bound don't move, and steps in the metric of all are too short by their share. The steps end when the totals match to
+``tolerance`` of all tokens, or when a step moves the rates by less than that (root mean square over tokens): then they
+are at the least distance. After ``most_steps`` without either a RuntimeWarning gives the last step and the distance
+left. So only these few numbers pass through the driver: each pass over the posteriors folds all steps so far and sums
+up the totals, and no state of documents is written between passes.
+
+A domain without a target aims at the posterior mass that documents of the other domains carry at their targets. (At 0 it
+would be out of reach, as posteriors are positive, and chasing it moves all weight to the few purest documents.)
 
 The budget is the largest total that asks no domain for more than it has, unless one is given. Under it one scarce
 domain shrinks all others. With a domain named as ``whole``, the budget is the one at which that domain is kept in full,
@@ -19,11 +21,11 @@ that domain, or it has no target, the budget is as without it.
 
 Tokens are words (runs without ASCII white space). Learning uses a bounded sample: some ``most_docs`` labelled
 documents, as many of each domain where there are enough, of up to ``longest`` bytes (those of the least hash
-of their id); all else covers all documents. All domains are learned; more than ``most_domains`` (64) are an error, as
+of their id; of rows that repeat an id the least text); all else covers all documents. All domains are learned; more than ``most_domains`` (64) are an error, as
 the driver holds a matrix of their second moments and the used word buckets are dealt out among them.
 
 Defined results: null and empty texts have no tokens; they and all others get a posterior and a rate. Targets
-of domains that the labels don't know are left out and the rest scaled up; domains without a target aim at 0.
+of domains that the labels don't know are left out and the rest scaled up.
 Without two domains to learn from all rates are 1. An empty table gives an empty result.
 """
 
@@ -146,7 +148,8 @@ def learn(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("quali
         chosen = chosen | ((F.col("domain") == v) & (F.col("place") < F.lit(int(min(1.0, most_docs / len(count) / n) * (1 << 40)))))
     picked = marked.filter(chosen).orderBy("place").limit(2 * most_docs).select(F.col(row_id).alias("mx_id"), "domain", "place")
     rows = docs.select(F.col(row_id).alias("mx_id"), F.col(text).cast("string").alias("text")).filter(F.octet_length("text") <= longest)
-    got = rows.join(F.broadcast(picked), "mx_id").select("domain", "text").mapInArrow(_featurise, "domain string, found binary, shape binary").toArrow()
+    rows = rows.join(F.broadcast(picked), "mx_id").groupBy("mx_id").agg(F.min(F.struct("domain", "text")).alias("r")).select("r.domain", "r.text")
+    got = rows.mapInArrow(_featurise, "domain string, found binary, shape binary").toArrow()
     domain = got.column("domain").to_pylist()
     names = sorted(set(domain))
     if len(names) < 2:
@@ -182,8 +185,11 @@ def _fold(p: np.ndarray, steps: list[np.ndarray], w: np.ndarray | None = None) -
 
 
 def _totals(k: int, steps: list[np.ndarray]):
+    """Of each task's rows, one after the other: the domains' totals, second moments of rows above 0, the mass that the documents of
+    each likeliest domain carry, all tokens, and how far the last step moved."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, m, all_tokens, moved = np.zeros(k), np.zeros((k, k)), 0.0, 0.0
+        g, m, mass, all_tokens, moved = np.zeros(k), np.zeros((k, k)), np.zeros((k, k)), 0.0, 0.0
         for batch in batches:
             t = batch.column(0).to_numpy().astype(np.float64)
             p = batch.column(1).flatten().to_numpy().reshape(-1, k)
@@ -191,14 +197,27 @@ def _totals(k: int, steps: list[np.ndarray]):
             w = _fold(p, steps[-1:], before)
             g += (t * w) @ p
             moved += t @ (w - before) ** 2
-            m += (p * t[:, None]).T @ p
             all_tokens += t.sum()
-        yield pa.RecordBatch.from_arrays([pa.array([v.tolist()]) for v in (g, m.reshape(-1), np.array([all_tokens, moved]))], ["g", "m", "t"])
+            free = w > 0
+            m += (p[free] * t[free, None]).T @ p[free]
+            if not steps:
+                np.add.at(mass, p.argmax(axis=1), p * t[:, None])
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([g, m.reshape(-1), mass.reshape(-1), [all_tokens, moved]]).tolist()])], ["v"])
 
     return run
 
 
-def rates(posteriors: DataFrame, names: list[str], targets: dict[str, float], budget: float | None = None, whole: str | None = None, tolerance: float = 1e-5, settled: float = 2e-4, most_steps: int = 200) -> list[np.ndarray]:
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = None
+    for batch in batches:
+        for v in batch.column(0):
+            v = v.values.to_numpy()
+            out = v if out is None else out + v
+    if out is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([out.tolist()])], ["v"])
+
+
+def rates(posteriors: DataFrame, names: list[str], targets: dict[str, float], budget: float | None = None, whole: str | None = None, tolerance: float = 1e-6, most_steps: int = 100) -> list[np.ndarray]:
     """The gradient steps that turn a rate of 1 into each document's rate."""
     k = len(names)
     goal = np.array([max(0.0, targets.get(n, 0.0)) for n in names])
@@ -207,30 +226,29 @@ def rates(posteriors: DataFrame, names: list[str], targets: dict[str, float], bu
     goal /= goal.sum()
     steps: list[np.ndarray] = []
     table = posteriors.select("n_tokens", "posterior")
-    aim = inverse = None
+    aim = None
     while True:
-        sums = table.mapInArrow(_totals(k, list(steps)), "g array<double>, m array<double>, t array<double>")
-        add = lambda c, n: [F.sum(F.element_at(c, i + 1)).alias(f"{c}{i}") for i in range(n)]
-        r = sums.agg(*add("g", k), *(add("m", k * k) + add("t", 2))).first()
-        got, total = np.array([r[f"g{i}"] or 0.0 for i in range(k)]), r["t0"] or 0.0
+        sums = table.mapInArrow(_totals(k, list(steps)), "v array<double>").repartition(16).mapInArrow(_added, "v array<double>").collect()
+        v = np.sum([r.v for r in sums], axis=0) if sums else np.zeros(2 * k * k + k + 2)
+        got, moment, mass, (total, moved) = v[:k], v[k : k + k * k].reshape(k, k), v[k + k * k : -2].reshape(k, k), v[-2:]
         if total <= 0:
             return []
         if aim is None:
-            moment = np.array([r[f"m{i}"] for i in range(k * k)]).reshape(k, k) / total
-            inverse = np.linalg.inv(moment + 1e-6 * np.eye(k))
             most = {names[i]: got[i] / total / goal[i] for i in range(k) if goal[i] > 0}
             if budget is None and whole in most:
                 aim = np.minimum(goal * most[whole], got / total)
             else:
                 aim = goal * (min(most.values()) if budget is None else budget / total)
+            scale = np.where(goal > 0, aim * total / np.maximum(got, 1e-300), 0.0)
+            aim = np.where(goal > 0, aim, scale @ mass / total)
         rest = got / total - aim
-        moved = (r["t1"] / total) ** 0.5
-        if np.abs(rest).max() < tolerance or (steps and moved < settled):
+        moved = (moved / total) ** 0.5
+        if np.abs(rest).max() < tolerance or (steps and moved < tolerance):
             break
         if len(steps) >= most_steps:
             warnings.warn(f"mixing: rates not settled after {most_steps} steps: last step {moved:.1e}, totals off by {np.abs(rest).max():.1e} of all tokens", RuntimeWarning, stacklevel=2)
             break
-        steps.append(inverse @ rest)
+        steps.append(np.linalg.solve(moment / total + 1e-6 * np.eye(k), rest))
     return steps
 
 
@@ -259,9 +277,8 @@ def mix(docs: DataFrame, model: Model | None, targets: dict[str, float], budget:
     return table.mapInArrow(_apply(steps, model.names), out).withColumnRenamed("id", row_id)
 
 
-def copies(rate: Column, row_id: Column, keep: Column, round_up: float = 0.75) -> Column:
-    """The number of copies of a row: its rate, rounded at random by a hash of its id; from ``round_up`` to 1 it is 1 where ``keep`` holds."""
-    rate = F.when((rate >= round_up) & (rate < 1) & keep, 1.0).otherwise(rate)
+def copies(rate: Column, row_id: Column) -> Column:
+    """The number of copies of a row: its rate, rounded up or down by chance (a hash of its id), so that it is the rate on average."""
     chance = F.pmod(F.xxhash64(row_id, F.lit(37)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     return F.floor(rate + chance).cast("int")
 

@@ -9,7 +9,7 @@ into the probability of label 1.
 Only documents are labelled, so learning alternates: lines of good documents are good; lines of bad documents
 begin as bad, and are then set anew by the field's own marginals, each bad document keeping its worst line.
 It uses a bounded sample: some ``most_docs`` labelled documents of up to ``longest`` bytes (those of the least
-hash of their id), as many of either label where there are enough.
+hash of their id; of rows that repeat an id the least text), as many of either label where there are enough.
 
 Defined results: null and empty texts and texts of blank lines score the learned share of label 1 among the
 sample. Without two labels to learn from every document scores 0.5. A line is what stands between line feeds;
@@ -244,7 +244,8 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "q
     for v, n in count.items():
         chosen = chosen | ((F.col("label") == v) & (F.col("place") < F.lit(int(min(1.0, 0.8 * most_docs / n) * (1 << 40)))))
     picked = marked.filter(chosen).orderBy("place").limit(2 * most_docs)
-    got = rows.join(F.broadcast(picked), row_id).select("label", "text").mapInArrow(_measure, "label int, sizes binary, bins binary").toArrow()
+    rows = rows.join(F.broadcast(picked), row_id).groupBy(row_id).agg(F.min(F.struct("label", "text")).alias("r")).select("r.label", "r.text")
+    got = rows.mapInArrow(_measure, "label int, sizes binary, bins binary").toArrow()
     docs_ = [(np.frombuffer(s.as_buffer(), np.int64), np.frombuffer(b.as_buffer(), np.uint8).reshape(-1, OWN)) for s, b in zip(got.column("sizes"), got.column("bins"), strict=True)]
     y = got.column("label").to_numpy() if got.num_rows else np.zeros(0, np.int64)
     keep = [k for k, (s, _) in enumerate(docs_) if len(s)]

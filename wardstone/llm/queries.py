@@ -66,7 +66,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = mixing.learn(docs, _table(spark, sf_dir, "labels"))
     out = mixing.mix(docs.withColumn("mx_row", row_key()), model, TARGETS, row_id="mx_row", whole=CLEAN)
-    copies = mixing.copies(F.col("rate"), F.col("mx_row"), F.col("domain") == CLEAN)
+    copies = mixing.copies(F.col("rate"), F.col("mx_row"))
     return out.select(F.col("mx_row.id").alias("doc_id"), "n_tokens", "domain", "posterior", "rate", copies.alias("copies"))
 
 
