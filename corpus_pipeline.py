@@ -35,12 +35,14 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of domains beyond their target go by chance, by their fitted rate; none is repeated.
 
-    The clean domain sets the budget: scarce toxic or junk documents never make clean ones go.
+    The clean domain is kept whole and sets the budget: documents whose likeliest domain it is all stay, and scarce toxic
+    or junk ones never make them go.
     """
     model = mixing.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     keyed = docs.withColumn("mx_row", row_key())
     rates = mixing.mix(keyed, model, TARGETS, row_id="mx_row", whole=CLEAN)
-    gone = rates.filter(mixing.copies(F.col("rate"), F.col("mx_row"), F.col("domain") == CLEAN) < 1).select(F.col("mx_row").alias("mx_gone")).distinct()
+    drawn = (F.col("domain") != CLEAN) & (mixing.copies(F.col("rate"), F.col("mx_row")) < 1)
+    gone = rates.filter(drawn).select(F.col("mx_row").alias("mx_gone")).distinct()
     return keyed.join(gone, keyed["mx_row"] == gone["mx_gone"], "left_anti").drop("mx_row")
 
 
