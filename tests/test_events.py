@@ -1,5 +1,5 @@
 from wardstone.operators.registry import Registry, Source, default, extended
-from wardstone.plans import store
+from wardstone.plans import analytics, store
 from wardstone.plans.normalize import accepted, flat, normalize, rejected
 
 
@@ -85,3 +85,37 @@ def test_linux_hostname_behind_many_characters(spark):
     tail = "k: [UFW BLOCK] SRC=1.1.1.1 DST=2.2.2.2 ID=7"
     assert f"hostname={name};" in one(spark, f"{name}: {tail}").unmapped
     assert "hostname=far;" in one(spark, f"Jan 2{pad}01:02:03 far {tail}").unmapped
+
+
+def test_one_scan_of_the_text(spark, tmp_path):
+    spark.createDataFrame([("logid=1 type=x",)], "value string").write.text(f"{tmp_path}/lines")
+    plan = normalize(spark.read.text(f"{tmp_path}/lines"), ingest_ms=5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1 and "Union" not in plan and "Exchange" not in plan
+
+
+def test_registering_again_changes_parsing_but_not_routing(spark):
+    r = default()
+    old = r.get("linux")
+    r.register(Source("linux", lambda c: c.contains("zzz"), old.steps, lambda line, s, c: old.parse(line, s, c) | {"message": line}))
+    df = spark.createDataFrame([("h k: [UFW BLOCK] SRC=1.1.1.1 DST=2.2.2.2",), ("zzz",)], "value string")
+    got = [(x.source, x.message) for x in normalize(df, ingest_ms=5, registry=r).collect()]
+    assert got == [("linux", "h k: [UFW BLOCK] SRC=1.1.1.1 DST=2.2.2.2"), ("", None)]
+
+
+def test_upsert_adds_what_is_new_and_counts_the_rest(spark):
+    stored = spark.createDataFrame([("a", 0), ("b", 0)], "uid string, event_id long")
+    new = spark.createDataFrame([("b", 1), ("c", 3), ("c", 2), ("d", 4), (None, 6), (None, 5)], "uid string, event_id long")
+    added, counters = store.upsert(new, stored, "uid", "event_id")
+    assert sorted((r.uid or "", r.event_id) for r in added.collect()) == [("", 5), ("c", 2), ("d", 4)]
+    assert tuple(counters.first()) == (6, 3, 3)
+    added, counters = store.upsert(new.filter("false"), stored, "uid", "event_id")
+    assert added.count() == 0 and tuple(counters.first()) == (0, 0, 0)
+
+
+def test_sessions_take_the_next_teardown_of_a_reused_id(spark):
+    line = "%s: %%ASA-6-30201%d: %s TCP connection 7 for outside:1.1.1.1/80 to inside:2.2.2.2/22 bytes %d"
+    rows = [("Nov 28 2007 17:00:0%d" % k, n, w, k) for k, (n, w) in enumerate([(3, "Built"), (4, "Teardown"), (3, "Built"), (3, "Built"), (4, "Teardown"), (4, "Teardown")])]
+    df = accepted(normalize(spark.createDataFrame([(line % r,) for r in rows], "value string"), ingest_ms=5))
+    got = sorted((r.begun, r.ended, r.bytes) for r in analytics.sessions(df).collect())
+    start = 1196269200000
+    assert got == [(start, start + 1000, 1), (start + 3000, start + 4000, 4)]

@@ -38,27 +38,29 @@ class Source:
 
 class Registry:
     def __init__(self) -> None:
-        self._order: list[str] = []
+        self._order: list[Source] = []
         self._by_name: dict[str, Source] = {}
 
     def register(self, source: Source) -> None:
-        """Appends a source; one of a known name takes the old one's place in the order for lookups."""
+        """Appends a source. One of a known name is what get() and parsing find from then on; lines are still routed by
+        the detector that was registered first, in its place."""
         if source.name not in self._by_name:
-            self._order.append(source.name)
+            self._order.append(source)
         self._by_name[source.name] = source
 
     def get(self, name: str) -> Source | None:
         return self._by_name.get(name)
 
     def names(self) -> list[str]:
-        return sorted(self._order)
+        return sorted(self._by_name)
 
     def ordered(self) -> list[Source]:
-        return [self._by_name[n] for n in self._order]
+        """The sources that parse, in the order of routing."""
+        return [self._by_name[s.name] for s in self._order]
 
     def detect(self, line: Column) -> Column:
         """The name of the first source that takes the line; '' if none does."""
-        return choose([(F.coalesce(s.detect(line), F.lit(False)), s.name) for s in self.ordered()], "")
+        return choose([(F.coalesce(s.detect(line), F.lit(False)), s.name) for s in self._order], "")
 
 
 def default() -> Registry:

@@ -57,8 +57,9 @@ def outliers(rows: DataFrame, columns: list[str], share: float = 0.1) -> DataFra
 
 
 def sessions(df: DataFrame) -> DataFrame:
-    """Built and torn down connections of one identifier, paired by an equi-join."""
+    """Built connections with the next event of their identifier in time, if that is a teardown; identifiers come again."""
     keyed = df.withColumn("connection", F.try_element_at("unmapped", F.lit("asa.connection_id"))).filter(F.col("connection").isNotNull())
-    built = keyed.filter(F.col("action") == "Built").select("connection", F.col("time").alias("begun"), "src_endpoint", "dst_endpoint")
-    ended = keyed.filter(F.col("action") == "Teardown").select("connection", F.col("time").alias("ended"), F.col("traffic.bytes").alias("bytes"))
-    return built.join(ended, "connection")
+    keyed = keyed.filter(F.col("action").isin("Built", "Teardown")).select("connection", "action", "time", "src_endpoint", "dst_endpoint", F.col("traffic.bytes").alias("bytes"))
+    after = F.lead(F.struct("action", "time", "bytes")).over(Window.partitionBy("connection").orderBy("time", "action"))
+    pairs = keyed.withColumn("after", after).filter((F.col("action") == "Built") & (F.col("after.action") == "Teardown"))
+    return pairs.select("connection", F.col("time").alias("begun"), "src_endpoint", "dst_endpoint", F.col("after.time").alias("ended"), F.col("after.bytes").alias("bytes"))

@@ -348,14 +348,22 @@ _exported(
     """'LEEF:2.0|' || vendor || '|' || product || '|' || version || '|' || type_uid || '|' || chr(9) || 'cat=' || category_name || chr(9) || 'src=' || src_ip || chr(9) || 'dst=' || dst_ip || chr(9) || 'srcPort=' || src_port
   || chr(9) || 'dstPort=' || dst_port || chr(9) || 'proto=' || protocol_name || chr(9) || 'action=' || action || chr(9) || 'sev=' || severity_id || chr(9) || 'msg=' || message || chr(9) || 'eventID=' || uid""",
 )
-_exported(
+def event_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = accepted(normalize(carriers.lines(spark, sf_dir, "mixed"), ingest_ms=INGEST, assume_year=YEAR)).select("event_id", export.ocsf_json().alias("j"))
+    of = lambda path: F.get_json_object("j", path)
+    parts = [of("$.type_uid"), of("$.metadata.uid"), of("$.raw_data"), F.coalesce(of("$.src_endpoint.ip"), F.lit("-")), F.coalesce(of("$.status"), F.lit("-"))]
+    return df.select("event_id", F.concat_ws("|", *parts, F.array_join(F.json_object_keys("j"), ",")).alias("line"))
+
+
+_add(
     "event_json",
-    lambda: F.concat_ws("|", F.get_json_object(export.ocsf_json(), "$.type_uid"), F.get_json_object(export.ocsf_json(), "$.metadata.uid"), F.get_json_object(export.ocsf_json(), "$.raw_data"), F.coalesce(F.get_json_object(export.ocsf_json(), "$.src_endpoint.ip"), F.lit("-")), F.coalesce(F.get_json_object(export.ocsf_json(), "$.status"), F.lit("-")), F.array_join(F.json_object_keys(export.ocsf_json()), ",")),
-    """type_uid || '|' || uid || '|' || raw_data || '|' || CASE src_ip WHEN '' THEN '-' ELSE src_ip END || '|' || CASE status WHEN '' THEN '-' ELSE status END
+    event_json,
+    oracle.with_events("mixed")
+    + """SELECT event_id, type_uid || '|' || uid || '|' || raw_data || '|' || CASE src_ip WHEN '' THEN '-' ELSE src_ip END || '|' || CASE status WHEN '' THEN '-' ELSE status END
   || '|class_uid,class_name,category_uid,category_name,activity_id,activity_name,type_uid,type_name,severity_id,severity' || CASE status_id WHEN 0 THEN '' ELSE ',status_id,status' END
   || CASE message WHEN '' THEN '' ELSE ',message' END || ',time,metadata,raw_data,raw_data_hash,raw_data_size' || CASE observables WHEN '' THEN '' ELSE ',observables' END
   || CASE unmapped WHEN '' THEN '' ELSE ',unmapped' END || ',src_endpoint,dst_endpoint' || CASE protocol_name WHEN '' THEN '' ELSE ',protocol_name' END || CASE protocol_num WHEN 0 THEN '' ELSE ',protocol_num' END
-  || CASE direction WHEN '' THEN '' ELSE ',direction' END || ',action,traffic' || CASE finding_info WHEN '' THEN '' ELSE ',finding_info' END || CASE confidence WHEN '' THEN '' ELSE ',confidence' END""",
+  || CASE direction WHEN '' THEN '' ELSE ',direction' END || ',action,traffic' || CASE finding_info WHEN '' THEN '' ELSE ',finding_info' END || CASE confidence WHEN '' THEN '' ELSE ',confidence' END AS line FROM n""",
 )
 
 
@@ -409,8 +417,7 @@ _add(
 
 def dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = parsed(carriers.lines(spark, sf_dir, "linux"), "event_id").select("event_id", "uid", "action")
-    kept, again = store.first_wins(df, F.col("uid"), "event_id")
-    return kept.join(again.select(F.col("key").alias("uid"), "duplicates"), "uid", "left").select("uid", "event_id", "action", F.coalesce("duplicates", F.lit(0)).cast("long").alias("duplicates"))
+    return store.first_wins(df, F.col("uid"), "event_id").select("uid", "event_id", "action", "duplicates")
 
 
 _add("dedup_first_wins", dedup_first_wins, oracle.with_events("linux") + "SELECT uid, min(event_id) AS event_id, arg_min(action, event_id) AS action, count(*) - 1 AS duplicates FROM n GROUP BY uid")
@@ -503,14 +510,27 @@ SELECT who, hour, n, round(mean, 6) AS mean, round(std, 6) AS std, round(CASE WH
 
 def ip_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = analytics.features(_activity(spark, sf_dir), "who", size="size")
-    return analytics.outliers(rows, ["events", "fail_ratio", "ports", "bytes_mean", "hour_entropy"]).select("who", "score", "flag")
+    out = analytics.outliers(rows, _SCORED)
+    return out.select("who", F.round("score", 6).alias("score"), "flag")
 
 
-_add("ip_outliers", ip_outliers)
+_SCORED = ["events", "fail_ratio", "ports", "bytes_mean", "hour_entropy"]
+_add(
+    "ip_outliers",
+    ip_outliers,
+    _ACTIVITY
+    + """, h AS (SELECT who, hour % 24 AS h, count(*) AS n FROM a GROUP BY ALL), e AS (SELECT who, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS hour_entropy FROM h GROUP BY who),
+v AS (SELECT who, CAST(count(*) AS DOUBLE) AS events, CAST(count(DISTINCT dst_port) AS DOUBLE) AS ports, CAST(avg(CASE activity_id WHEN 2 THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS fail_ratio, avg(size) AS bytes_mean FROM a GROUP BY who),
+w AS (SELECT * FROM v JOIN e USING (who)), q AS (SELECT """
+    + ", ".join(f"quantile_disc({c}, 0.25) AS {c}_l, quantile_disc({c}, 0.5) AS {c}_m, quantile_disc({c}, 0.75) AS {c}_h" for c in _SCORED)
+    + " FROM w), s AS (SELECT who, greatest("
+    + ", ".join(f"abs({c} - {c}_m) / greatest({c}_h - {c}_l, 1e-9)" for c in _SCORED)
+    + ") AS score FROM w, q) SELECT who, round(score, 6) AS score, score >= (SELECT quantile_disc(score, 0.9) FROM s) AS flag FROM s",
+)
 
 
 def asa_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each built connection with a teardown of the same number, ten ids later by construction."""
+    """Each built connection with the teardown of the same number, the next event by construction, if that is not before it."""
     base = carriers.base(spark, sf_dir).withColumn("conn", F.expr("10000 + event_id - event_id % 9"))
     df = accepted(normalize(carriers.rendered(base, carriers.CISCO_ASA), ingest_ms=INGEST, assume_year=YEAR))
     return analytics.sessions(df).select(F.col("connection").cast("long").alias("connection"), "begun", "ended", "bytes", F.col("src_endpoint.ip").alias("src_ip"))
@@ -520,7 +540,7 @@ _add(
     "asa_sessions",
     asa_sessions,
     f"""WITH {carriers.BASE_DUCK} SELECT 10000 + b.event_id AS connection, b.sec * 1000 AS begun, t.sec * 1000 AS ended, CAST(t.volume AS BIGINT) AS bytes, b.ip_out AS src_ip
-FROM base b JOIN base t ON t.event_id = b.event_id + 1 WHERE b.event_id % 9 = 0""",
+FROM base b JOIN base t ON t.event_id = b.event_id + 1 WHERE b.event_id % 9 = 0 AND t.sec >= b.sec""",
 )
 
 
@@ -580,7 +600,11 @@ _add("synth_corpus", synth_corpus, "SELECT vendor, vendor AS source, CAST(2000 A
 def shared_dir(spark: SparkSession) -> str:
     import tempfile
 
-    found = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="wardstone-")
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="wardstone-")
     return f"{found.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -6,16 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def first_wins(df: DataFrame, key: Column, order: str) -> tuple[DataFrame, DataFrame]:
-    """Of rows with one key the first by ``order``, and how often each key came again.
+def first_wins(df: DataFrame, key: Column, order: str) -> DataFrame:
+    """Of rows with one key the first by ``order``, and in ``duplicates`` how often the key came again.
 
     An aggregation with partial results in each task, so that a key with a third of all rows does not gather.
     """
     row = F.struct(*[F.col(c) for c in df.columns])
     g = df.groupBy(key.alias("__key")).agg(F.min_by(row, order).alias("row"), F.count("*").alias("n"))
-    kept = g.select("row.*")
-    again = g.filter("n > 1").select(F.col("__key").alias("key"), (F.col("n") - 1).alias("duplicates"))
-    return kept, again
+    return g.select("row.*", (F.col("n") - 1).alias("duplicates"))
+
+
+def upsert(new: DataFrame, stored: DataFrame, key: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """What a batch adds to a store, and its counters: one row of received, added and duplicates.
+
+    Added are the first rows of each key that the store doesn't hold; all others are duplicates. Rows without a key
+    are equal to each other, and never to a stored one.
+    """
+    first = first_wins(new, F.col(key), order)
+    known = stored.select(F.col(key).alias("__known")).distinct().withColumn("__held", F.lit(True))
+    marked = first.join(known, F.col(key) == F.col("__known"), "left")
+    held = F.coalesce("__held", F.lit(False))
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    counters = marked.agg(
+        count(F.col("duplicates") + 1).alias("received"), F.count_if(~held).alias("added"), count(F.col("duplicates") + held.cast("int")).alias("duplicates")
+    )
+    return marked.filter(~held).select(*new.columns), counters
 
 
 def since(df: DataFrame, cursor: int, limit: int, source: str | None = None, order: str = "event_id") -> DataFrame:
