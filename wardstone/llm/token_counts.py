@@ -11,6 +11,10 @@ Prefixes that the pattern would split otherwise than the whole text (white space
 contraction, a cut special string) are counted as texts of their own, so every count is that of the
 library for exactly that prefix.
 
+A piece beyond ``ALONE`` bytes keeps the tables of its own prefixes in flat arrays (eight bytes a byte) instead of the
+shared tree. Tokenizer files with settings that these counts don't follow (a normaliser, a space put before texts, added
+tokens that are not special or take white space along, other models than plain byte-level merges) are a ValueError.
+
 Defined results: a null text counts as empty, with no tokens. A special string inside a text is one token,
 as the library takes it by default. Texts of any length are taken whole.
 """
@@ -34,6 +38,8 @@ from ._pieces import Remembered, parts, text_blocks
 from ._store import ship
 
 END = 1 << 30
+#: Bytes beyond which a piece's prefixes are not shared with other pieces.
+ALONE = 4096
 _RUN = re.compile(r"\s\s")
 
 
@@ -44,6 +50,24 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _check(spec: dict) -> None:
+    """Raises for a tokenizer file whose counts would not be those found here."""
+    model, odd = spec["model"], []
+    if spec.get("normalizer"):
+        odd.append("normalizer")
+    odd += [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    if model.get("type", "BPE") != "BPE":
+        odd.append(f"model {model['type']}")
+    before = spec.get("pre_tokenizer") or {}
+    if any(x.get("add_prefix_space") for x in (before, *before.get("pretokenizers", []))):
+        odd.append("add_prefix_space")
+    for t in spec["added_tokens"]:
+        if not t["special"] or any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            odd.append(f"added token {t['content']!r}")
+    if odd:
+        raise ValueError(f"tokenizer settings that are not counted: {', '.join(odd)}")
+
+
 class Counter:
     """Prefix counts for one tokenizer file."""
 
@@ -52,6 +76,7 @@ class Counter:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _check(spec)
         letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         special = {x["content"] for x in spec["added_tokens"] if x["special"]}
@@ -136,8 +161,32 @@ class Counter:
                     return False
         return True
 
-    def piece(self, piece: bytes) -> list[int]:
+    def _alone(self, piece: bytes) -> array:
+        """What piece() gives, for a long one: its prefixes stand in flat arrays that go with it."""
+        last, count, beside = array("i", [-1]), array("i", [0]), self.beside
+        for e in range(len(piece)):
+            at, s = self.ends, e
+            while True:
+                at = at.get(piece[s])
+                t = at.get(-1)
+                if t is not None:
+                    if s == 0:
+                        if self._is_whole(t):
+                            break
+                    else:
+                        a = last[s]
+                        ok = beside.get(a << 24 | t)
+                        if ok or (ok is None and self._may_follow(a, t)):
+                            break
+                s -= 1
+            last.append(t)
+            count.append(count[s] + 1)
+        return count[1:]
+
+    def piece(self, piece: bytes) -> list[int] | array:
         """The token count at each byte of a piece (after one byte, after two, ...)."""
+        if len(piece) > ALONE:
+            return self._alone(piece)
         if len(self.last) > 400_000:
             self._forget()
         tree, last, count, beside = self.tree, self.last, self.count, self.beside
@@ -170,7 +219,7 @@ class Counter:
     def _whole(self, text: str) -> int:
         return sum(self.piece(p.encode())[-1] for p in self.pattern.findall(text))
 
-    def _plain(self, text: str, base: int, out: list[int]) -> int:
+    def _plain(self, text: str, base: int, out: array) -> int:
         """Appends the count at each character of a text without special strings; gives the count of all of it."""
         run = 0  # where the present run of white space begins
         before = base
@@ -194,10 +243,10 @@ class Counter:
                     out.append(before + self.piece(text[run : m.start() + 1].encode())[-1])
                     i = 1
                 if piece[0] == "'" and len(piece) == 3 and piece[1].isalpha():
-                    out += [base + own[0], base + own[0] + self._whole(piece[1])]
+                    out.extend((base + own[0], base + own[0] + self._whole(piece[1])))
                     i = 2
                 if len(raw) == len(piece):
-                    out += [base + c for c in own[i:]]
+                    out.extend(base + c for c in own[i:])
                 else:
                     at = len(piece[:i].encode())
                     for c in piece[i:]:
@@ -206,9 +255,9 @@ class Counter:
             base += self.piece(piece.encode())[-1]
         return base
 
-    def counts(self, text: str) -> list[int]:
+    def counts(self, text: str) -> array:
         """The token count of each prefix of one, two, ... characters."""
-        out: list[int] = []
+        out = array("i")
         base = at = 0
         if self.special:
             for m in self.special.finditer(text):
@@ -233,17 +282,16 @@ class Counter:
             raw = p.encode()
             own = self.piece(raw)
             if len(raw) != len(p):
-                at, ends = 0, []
+                at, ends = 0, array("i")
                 for c in p:
                     at += len(c.encode())
                     ends.append(own[at - 1])
                 own = ends
-            out.append(array("i", map(sub, own, [0, *own[:-1]])).tobytes())
+            out.append(_differences(own))
         return out
 
     def _steps(self, text: str) -> bytes:
-        own = self.counts(text)
-        return array("i", map(sub, own, [0, *own[:-1]])).tobytes()
+        return _differences(self.counts(text))
 
     def _parts(self, some: list[str]) -> list[bytes]:
         return [self._steps(p) for p in some]
@@ -264,6 +312,13 @@ class Counter:
             yield out
 
 
+def _differences(own: list[int] | array) -> bytes:
+    """The steps from count to count, from 0 on, as 32-bit integers."""
+    if len(own) > ALONE:
+        return np.diff(np.asarray(own, np.int32), prepend=np.int32(0)).tobytes()
+    return array("i", map(sub, own, [0, *own[:-1]])).tobytes()
+
+
 @lru_cache(2)
 def counter(path: str, pattern: str) -> Counter:
     return Counter(path, pattern)
