@@ -1,7 +1,7 @@
 """Exact top-k search by integer inner product: tiled matrix products and a tree merge of top lists.
 
-Vectors are quantised to floor(scale * x) and packed into tiles: query tiles of up to 256 rows, and shards
-of up to 4,096 rows, dealt into groups. Every query tile goes to every group once and meets the group's
+Vectors are quantised to floor(scale * x) and packed into tiles: query tiles of up to 1,024 rows, and shards
+of up to 4,096 rows, in the narrowest integers that hold a tile, dealt into groups. Every query tile goes to every group once and meets the group's
 shards there, one matrix product each; of each product only the k best of a row are selected, and a task
 merges them shard by shard. The lists of the groups then meet in a tree, eight at a time. The query set is
 stated by the caller; no pair of rows is ever a row of a table.
@@ -28,10 +28,23 @@ from pyspark.sql import types as T
 
 from ._store import ship, written
 
-QUERY_TILE, SHARD, FAN = 256, 4096, 8
+QUERY_TILE, SHARD, FAN = 1024, 4096, 8
 TILE = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("dim", T.IntegerType()), T.StructField("m", T.BinaryType())])
 
 
+def narrow(m: np.ndarray) -> bytes:
+    """Whole numbers as little-endian integers of the fewest bytes that hold them all."""
+    low, high = int(m.min(initial=0)), int(m.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if -(1 << (8 * w - 1)) <= low and high < 1 << (8 * w - 1))
+    return m.astype(f"<i{width}").tobytes()
+
+
+def wide(m: bytes, rows: int, dim: int) -> np.ndarray:
+    """The matrix of narrow(), as 64-bit integers."""
+    width = len(m) // (rows * dim) if rows * dim else 8
+    return np.frombuffer(m, f"<i{width}").reshape(rows, dim).astype(np.int64)
+
+
 def _pack(rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(id, vector of longs) -> tiles, each of one length of vectors, sorted by id."""
@@ -40,7 +53,7 @@ def _pack(rows: int):
         def tile(dim: int, parts: list) -> pa.RecordBatch:
             ids, m = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             order = np.argsort(ids, kind="stable")
-            return pa.RecordBatch.from_pylist([{"ids": ids[order].tobytes(), "dim": dim, "m": m[order].tobytes()}], schema=pa.schema([("ids", pa.binary()), ("dim", pa.int32()), ("m", pa.binary())]))
+            return pa.RecordBatch.from_pylist([{"ids": ids[order].tobytes(), "dim": dim, "m": narrow(m[order])}], schema=pa.schema([("ids", pa.binary()), ("dim", pa.int32()), ("m", pa.binary())]))
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -118,10 +131,10 @@ def _search(k: int):
                     if held is not None:
                         yield lists()
                     key, own = (tile, group), np.frombuffer(q_ids, np.int64)
-                    q = np.frombuffer(q_m, np.int64).reshape(len(own), dim)
+                    q = wide(q_m, len(own), dim)
                     held = (np.zeros(0, np.int64),) * 3
                 ids = np.frombuffer(ids, np.int64)
-                found = best(product(q, np.frombuffer(m, np.int64).reshape(len(ids), dim)), ids, own, k)
+                found = best(product(q, wide(m, len(ids), dim)), ids, own, k)
                 held = _top(*(np.concatenate(x) for x in zip(held, found, strict=True)), k)
         if held is not None:
             yield lists()
