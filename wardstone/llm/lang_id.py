@@ -111,7 +111,7 @@ class Model:
         """Language numbers, scores and whether a text is ambiguous."""
         margin = np.clip(x @ self.w + self.b, -30, 30)
         loss = (np.log1p(np.exp(-self.code[None] * margin[:, None])) * self.trust).sum(axis=2)
-        near = np.exp(-(loss - loss.min(axis=1, keepdims=True)) * 4 / self.code.shape[1])
+        near = np.exp(-(loss - loss.min(axis=1, keepdims=True)) * 4 / max(1, self.code.shape[1]))
         score = near / near.sum(axis=1, keepdims=True)
         order = np.sort(score, axis=1)
         best = loss.argmin(axis=1)
@@ -122,7 +122,8 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, texts in text_blocks(batch.column(1), 1 << 20):
             x = [features(t).astype(np.float16).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(x, pa.binary())], ["lang", "x"])
+            place, mark, lang = (batch.column(c).slice(i, j - i) for c in (0, 2, 3))
+            yield pa.RecordBatch.from_arrays([place, mark, lang, pa.array(x, pa.binary())], ["place", "mark", "lang", "x"])
 
 
 def learn(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "lang", row_id: str = "doc_id", per_language: int = 300, most_rows: int = 2000, most_languages: int = 200, longest: int = 200_000) -> Model | None:
@@ -141,9 +142,11 @@ def learn(docs: DataFrame, may_learn: Column, text: str = "text", lang: str = "l
         most = min(1.0, 1.2 * per_language / r.n)
         chosen = chosen | ((F.col(lang) == r.lang) & (place < F.lit(int(most * (1 << 40)))))
     picked = rows.filter(chosen & (F.octet_length(text) <= longest)).select(F.col(lang).alias("lang"), F.col(text).cast("string").alias("text"), place.alias("place"))
+    picked = picked.select("place", "text", F.xxhash64("text").alias("mark"), "lang")
     bound = per_language * len(names)
-    picked = picked.orderBy("place", "text").limit(int(1.3 * bound) + 20).select("lang", "text")
-    got = picked.mapInArrow(_featurise, "lang string, x binary").toArrow()
+    # Texts are turned into features where they are read; only features (8 KB each) meet to be ordered and cut.
+    picked = picked.mapInArrow(_featurise, "place long, mark long, lang string, x binary")
+    got = picked.orderBy("place", "mark").limit(int(1.3 * bound) + 20).select("lang", "x").toArrow()
     if not got.num_rows:
         return None
     langs = got.column("lang").to_pylist()
