@@ -91,7 +91,8 @@ def _components(texts, percent):
     return [find(k) for k in range(len(sets))], [len(s) for s in sets]
 
 
-def test_near_against_brute_force(spark):
+@pytest.mark.parametrize("percent", [85, 70])
+def test_near_against_brute_force(spark, percent):
     r = random.Random(5)
     base = [[f"w{r.randint(0, 5000)}" for _ in range(r.randint(8, 150))] for _ in range(12)]
     made = ["", None, "one two", "One  two", "a b c d e", "A B C D E"]
@@ -102,8 +103,8 @@ def test_near_against_brute_force(spark):
                 c[r.randrange(len(c))] = f"w{r.randint(0, 5000)}"
             made.append(" ".join(c))
     df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
-    want, size = _components(made, 85)
-    got = by_id(near_dedup.groups(df, percent=85))
+    want, size = _components(made, percent)
+    got = by_id(near_dedup.groups(df, percent=percent))
     assert [got[i].component_id for i in range(len(made))] == want
     assert [got[i].n_shingles for i in range(len(made))] == size
     assert all(got[i].kept == (want[i] == i) for i in got)
@@ -117,6 +118,20 @@ def test_near_edges(spark, docs):
     assert near_dedup.distinct(docs).columns == docs.columns
 
 
+def test_index_follows_the_similarity(spark):
+    assert [near_dedup.indexed(p) for p in (95, 85, 80)] == [12, 12, 12] and 12 < near_dedup.indexed(75) < near_dedup.indexed(66) <= near_dedup.CHUNKS
+    with pytest.raises(ValueError, match="too low"):
+        near_dedup.groups(spark.createDataFrame([(1, "a")], "doc_id long, text string"), percent=65)
+
+
+def test_near_very_long_texts(spark):
+    r = random.Random(9)
+    long = [f"w{r.randint(0, 50000)}" for _ in range(60_000)]
+    rows = [(5, " ".join(long)), (3, " ".join([*long[:-3], "other"])), (4, " ".join(long[::-1])), (6, "z" * 400_000), (7, "z" * 400_000)]
+    got = by_id(near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: g.component_id for i, g in got.items()} == {5: 3, 3: 3, 4: 4, 6: 6, 7: 6}
+
+
 def test_signature_guarantee():
     """Signatures that differ in up to 23 of the indexed symbols share a key."""
     r = np.random.default_rng(1)
@@ -161,6 +176,29 @@ def test_token_counts(docs, texts):
     assert token_counts.count_tokens(empty(docs), JSON, P.PATTERN).count() == 0
 
 
+def test_counts_of_one_long_piece():
+    r = random.Random(6)
+    pieces = ["".join(r.choice("abcdeéthingr日") for _ in range(9000)), "x" * 6000, "🙂" * 3000, " " * 5000 + "a"]
+    c, library = token_counts.Counter(JSON, P.PATTERN), Tokenizer.from_file(JSON)
+    for p, prefix in zip(pieces, c.prefixes(pieces), strict=True):
+        assert len(prefix) == len(p) + 1 and len(c.last) < 30_000
+        for k in (0, 1, 77, len(p) // 3, len(p) // 2, len(p)):
+            assert prefix[k] == len(library.encode(p[:k], add_special_tokens=False).ids)
+
+
+def test_counts_refuse_settings_they_do_not_follow():
+    import json
+
+    with open(JSON, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"] = {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges")}
+    token_counts._check(spec)
+    plain = dict(spec["added_tokens"][0], content="<x>", special=False)
+    for odd in ({"normalizer": {"type": "NFC"}}, {"added_tokens": [plain]}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}):
+        with pytest.raises(ValueError, match="not counted"):
+            token_counts._check(spec | odd)
+
+
 @pytest.mark.parametrize("pattern", [P.PATTERN, None])
 def test_token_files(docs, texts, pattern):
     lib = Tokenizer.from_file(JSON)
@@ -230,6 +268,17 @@ def test_chat_fold_and_reading_back(spark):
     assert chat.read_back(chat.render(chat.fold(events.filter("false")))).count() == 0
 
 
+def test_chat_edges(spark):
+    """Very long texts, equal sequence numbers, rows given twice, and columns of clashing names."""
+    long = "é\\# </turn>\n" * 40_000
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", long), (1, 1, "assistant", long), (2, 0, "user", ""), (2, 1, "assistant", "ok")]
+    table = spark.createDataFrame([(c, t, r, x, "p", 7) for c, t, r, x in rows], "conv_id long, turn long, role string, text string, pos string, cut int")
+    got = by_id(chat.read_back(chat.format_conversations(table)), "conv_id")
+    assert got[1].n_turns == 3 and got[1].loss_chars == 2 * len(long) and got[1].loss_sha256 == hashlib.sha256((2 * long).encode()).hexdigest()
+    assert got[1].turns_sha256 == hashlib.sha256(f"user\nhi\nassistant\n{long}\nassistant\n{long}\n".encode()).hexdigest()
+    assert (got[2].n_turns, got[2].loss_chars) == (2, 2)
+
+
 def test_topk(spark):
     r = np.random.default_rng(2)
     vecs = [(i, r.normal(size=8).round(1).astype(float).tolist()) for i in range(300)]
@@ -244,6 +293,21 @@ def test_topk(spark):
     assert topk.search(df.filter("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_repeated_ids(spark):
+    """A repeated id is a candidate as often as it stands there, never its own; its least vector asks."""
+    rows = [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (1, [3.0, 0.0]), (1, [3.0, 0.0]), (2, [1.0, 1.0])]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=3, scale=1)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == [(0, 1, 1, 3), (0, 2, 1, 3), (0, 3, 2, 1)]
+
+
+def test_topk_tiles_are_narrow_and_whole():
+    for most, width in ((127, 1), (128, 2), (1 << 15, 4), (1 << 31, 8)):
+        m = np.array([[most, -most, 0], [1, 2, 3]], np.int64)
+        raw = topk.narrow(m)
+        assert len(raw) == 6 * width and (topk.wide(raw, 2, 3) == m).all()
+    assert topk.wide(topk.narrow(np.zeros((3, 0), np.int64)), 3, 0).shape == (3, 0)
+
+
 def test_topk_large_components():
     a, b = np.full((1, 4), 1 << 40), np.full((1, 4), 1 << 30)
     assert topk.product(a, b)[0, 0] == (1 << 63) - 1
@@ -338,6 +402,22 @@ def test_mixing(spark):
     assert mixing.mix(empty(docs), model, targets).count() == 0
 
 
+def test_scores_of_repeated_rows_are_equal(spark):
+    """Rows given twice are scored twice, alike; equal texts tie."""
+    rows, labels = _quality_rows()
+    docs = spark.createDataFrame([(i, t, "xx" if i % 2 else None) for i, t in rows + rows[:20] + [(500, rows[3][1])]], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    scored = quality.classify(docs, quality.learn(docs, marks, F.lit(True))).collect()
+    named = lang_id.identify(docs, lang_id.learn(docs, F.lit(True))).collect()
+    model = mixing.learn(docs, marks)
+    mixed = mixing.mix(docs, model, {n: 1.0 for n in model.names}).collect()
+    for found, value in ((scored, "score"), (named, "score"), (mixed, "rate")):
+        of = {}
+        for r in found:
+            of.setdefault(r.doc_id, []).append(r[value])
+        assert len(found) == len(rows) + 21 and all(len(of[i]) == 2 and of[i][0] == of[i][1] for i in range(20)) and of[500][0] == of[3][0]
+
+
 def _scarce(toxic=0.01, junk=0.1, n=3000):
     """Texts of equal lengths with few toxic ones, and their labels."""
     r = random.Random(8)
