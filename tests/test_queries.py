@@ -11,7 +11,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(oracle.DATA), reason="no test
 CHECKED = [
     "detect_vendor", "detect_precedence", "fgt_tokenize", "ipv4_shape", "eve_rejects", "eve_time_forms", "linux_time_forms", "validate_rules",
     "asa_endpoints", "fgt_traffic_endpoints", "linux_fields", "eve_decode", "fgt_unmapped_top20", "to_cef", "to_leef", "event_json", "normalize_all",
-    "route_stats", "dedup_first_wins", "retention_latest_n", "events_by_source", "ip_features", "ip_outliers", "asa_sessions", "synth_cisco_asa", "stream_normalize",
+    "route_stats", "dedup_first_wins", "retention_latest_n", "events_by_source", "ip_features", "ip_outliers", "asa_sessions", "synth_cisco_asa", "panos_cef", "stream_normalize",
 ]
 
 

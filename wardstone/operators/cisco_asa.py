@@ -111,6 +111,11 @@ def volume(low: Column) -> Column:
     return F.coalesce(first_group(rest, r"^bytes +([+-]?[0-9]+)").try_cast("long"), F.lit(0).cast("long"))
 
 
+def excerpt(text: Column, most: int) -> Column:
+    """The beginning of a text, for messages; an ellipsis stands for what is left out."""
+    return F.concat(F.left(text, F.lit(most)), F.when(F.length(text) > most, "…").otherwise(""))
+
+
 def timestamp(raw: Column) -> Column:
     """Milliseconds of the first 20 characters after a priority, as 'Jan 02 2006 15:04:05' in UTC; null if they are none."""
     text = F.substr(F.ltrim(raw, F.lit("<0123456789> ")), F.lit(1), F.lit(20))
@@ -150,5 +155,5 @@ def parse(line: Column, s: dict[str, Column], ingest_ms: Column) -> dict[str, Co
         "bytes": volume(low),
         "unmapped": entries(("asa.message_id", number), ("asa.severity", grade), ("asa.connection_id", first_group(raw, r"connection[ \t\n\f\r]+([0-9]+)"))),
         "time_source": F.when(stamp.isNotNull(), "line").otherwise("ingest"),
-        "error": F.when(s["header"] == "", "cisco_asa: no %ASA header"),
+        "error": F.when(s["header"] == "", F.concat(F.lit('cisco_asa: no %ASA-sev-id header: "'), excerpt(raw, 80), F.lit('"'))),
     }

@@ -33,7 +33,9 @@ def normalize(
 
     Lines that no source takes have source ''; fields are null wherever parse_error is not. A line without a stamp
     of its own gets ``ingest_ms`` (the present, if None). Linux stamps lie in ``assume_year`` (the present one) and
-    ``linux_zone``. ``uid_mode`` 'compat' takes Linux's ID field as identifier, 'safe' always a digest of the line.
+    ``linux_zone``. ``uid_mode`` 'compat' takes Linux's ID field as identifier, 'safe' always a digest of the line; 'random'
+    gives each line of the other sources an identifier of its own, so that identical lines stay apart (one that is
+    read again, after a failure too, gets another).
 
     Each line is read and routed once, and nothing is shuffled. All parsers stand side by side in staged projections;
     a parser's columns are evaluated for its own lines only, and what a parser uses more than once is a column of an
@@ -80,9 +82,16 @@ def _expressions(registry: Registry, line: str, ingest_ms: int | None, assume_ye
         stages.append([F.when(source == s, c).alias(f"__{s}_{n}") for s, cs in new.items() for n, c in cs.items()])
         for s, cs in new.items():
             have[s] += cs
-    parts = {s.name: event.blank() | s.parse(text, seen(s), context) for s in found}
+    own = {s.name: s.parse(text, seen(s), context) for s in found}
+    parts = {s: event.blank() | p for s, p in own.items()}
     if uid_mode == "safe" and "linux" in parts:
         parts["linux"]["uid"] = event.digest(parts["linux"]["raw"])
+    if uid_mode == "random":
+        routed.append(F.expr("uuid()").alias("__uid"))
+        for name in own.keys() - {"linux"}:
+            parts[name] |= {n: F.col("__uid") for n in own[name].keys() & {"uid", "correlation"}}
+    elif uid_mode not in ("compat", "safe"):
+        raise ValueError(f"no uid_mode {uid_mode!r}")
     names = list(dict.fromkeys(n for p in parts.values() for n in p))
     p = {n: F.col(f"_p_{n}") for n in [*names, "activity_id"]}
     # The generator is a fence: filters on the verdict stay above it and don't repeat each field's expression.

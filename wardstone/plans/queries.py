@@ -594,6 +594,37 @@ def synth_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("synth_corpus", synth_corpus, "SELECT vendor, vendor AS source, CAST(2000 AS BIGINT) AS lines, CAST(0 AS BIGINT) AS failed, CAST(k AS BIGINT) AS first FROM (VALUES ('cisco_asa', 0), ('fortigate', 1), ('suricata', 2), ('linux', 3)) t(vendor, k)")
 
+# PAN-OS, an optional source ------------------------------------------------------------------------------------------
+
+PANOS_ACTS = ["allow", "deny", "drop", "alert", "reset-both"]
+_PANOS = {
+    "kind": "CASE WHEN event_id % 4 = 0 THEN 'THREAT' ELSE 'TRAFFIC' END",
+    "src": "'10.0.' || CAST(event_id % 200 AS VARCHAR(9)) || '.7'",
+    "dst": "'192.0.2.' || CAST(event_id % 250 AS VARCHAR(9))",
+    "spt": "CAST(1024 + event_id % 60000 AS VARCHAR(9))",
+    "proto": "CASE WHEN event_id % 3 = 0 THEN 'udp' ELSE 'tcp' END",
+    "act": "CASE event_id % 5 " + " ".join(f"WHEN {k} THEN '{a}'" for k, a in enumerate(PANOS_ACTS)) + " END",
+}
+
+
+def panos_cef(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CEF lines of PAN-OS, each field read back from the line."""
+    x = _PANOS
+    line = f"'CEF:0|V|PAN-OS|10|' || {x['kind']} || '|Log|1|src=' || {x['src']} || ' dst=' || {x['dst']} || ' spt=' || {x['spt']} || ' dpt=443 proto=' || {x['proto']} || ' act=' || {x['act']} || ' app=web'"
+    df = carriers.rendered(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id"), line)
+    columns = ["source", "class_uid", "activity_id", "severity_id", "src_ip", "src_port", "dst_ip", "dst_port", "protocol_name", "protocol_num", "action", "time", "unmapped"]
+    return parsed(df, "event_id", registry=sources.extended()).select("event_id", *columns)
+
+
+_add(
+    "panos_cef",
+    panos_cef,
+    f"""WITH r AS (SELECT event_id, {', '.join(f'{sql} AS {name}' for name, sql in _PANOS.items())} FROM events)
+SELECT event_id, 'panos' AS source, CASE kind WHEN 'THREAT' THEN 2004 ELSE 4001 END AS class_uid, CASE WHEN kind = 'THREAT' THEN 1 WHEN act = 'allow' THEN 1 ELSE 2 END AS activity_id,
+  CASE kind WHEN 'THREAT' THEN 3 ELSE 1 END AS severity_id, src AS src_ip, CAST(spt AS BIGINT) AS src_port, dst AS dst_ip, CAST(443 AS BIGINT) AS dst_port, proto AS protocol_name,
+  CAST(CASE proto WHEN 'udp' THEN 17 ELSE 6 END AS BIGINT) AS protocol_num, act AS action, CAST({INGEST} AS BIGINT) AS time, 'app=web' AS unmapped FROM r""",
+)
+
 # Streams ------------------------------------------------------------------------------------------------------------
 
 

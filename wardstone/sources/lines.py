@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.export import ocsf_json
+from .synth import lines_of
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """One row a line: value and the file it is from. Lines of any length are read."""
@@ -34,3 +37,19 @@ def merged(*feeds: DataFrame) -> DataFrame:
 
 def write_lines(df: DataFrame, path: str, column: str = "value") -> None:
     df.select(F.col(column).alias("value")).write.text(path)
+
+
+def write_jsonl(events: DataFrame, path: str, by_source: bool = False) -> None:
+    """Appends normalized events to a lake of JSON lines, one OCSF object a line; in a folder for each source, if asked for."""
+    rows = events.select("source", ocsf_json().alias("value")) if by_source else events.select(ocsf_json().alias("value"))
+    writer = rows.write.mode("append")
+    (writer.partitionBy("source") if by_source else writer).text(path)
+
+
+def timed_feed(spark: SparkSession, vendor: str, every: float = 2.0, batch: int = 25, seed: int = 42) -> DataFrame:
+    """A stream of synthetic lines of a vendor, for trials: ``batch`` lines in ``every`` seconds on average, each with its time.
+
+    Line i depends on i and the seed only, so a batch that runs again gives the same lines.
+    """
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", max(1, round(batch / every))).load()
+    return lines_of(ticks.select(F.col("value").alias("i"), "timestamp"), vendor, seed, "timestamp")

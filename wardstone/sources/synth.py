@@ -112,12 +112,16 @@ def line_sql(vendor: str, dated: str, undated: str, iso: str, ymd: str, hms: str
 def generate(spark: SparkSession, vendor: str, n: int, seed: int = 0) -> DataFrame:
     """n lines of a vendor: i, shape, value."""
     seed = seed or time.time_ns() % 1_000_003 + 1
-    df = spark.range(max(0, n)).withColumnRenamed("id", "i")
-    df = df.selectExpr("i", *[f"{spark_sql(sql)} AS {name}" for name, sql in rows_sql(vendor, seed)])
+    return lines_of(spark.range(max(0, n)).withColumnRenamed("id", "i"), vendor, seed)
+
+
+def lines_of(rows: DataFrame, vendor: str, seed: int, *keep: str) -> DataFrame:
+    """The line of each row's number i: i, shape, value, and the columns to keep."""
+    df = rows.selectExpr("i", *keep, *[f"{spark_sql(sql)} AS {name}" for name, sql in rows_sql(vendor, seed)])
     at = f"timestamp_seconds({START} + i)"
     form = lambda p: f"date_format({at}, '{p}')"
     line = line_sql(vendor, form("MMM dd yyyy HH:mm:ss"), form("MMM dd HH:mm:ss"), f"replace({form('yyyy-MM-dd HH:mm:ss')}, ' ', 'T')", form("yyyy-MM-dd"), form("HH:mm:ss"))
-    return df.select("i", "shape", F.explode(F.array(F.expr(line))).alias("value"))
+    return df.select("i", "shape", *keep, F.explode(F.array(F.expr(line))).alias("value"))
 
 
 def corpus(spark: SparkSession, n_each: int, seed: int = 42) -> DataFrame:
