@@ -8,13 +8,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from wardstone.llm import _pieces, bpe, chat, components, exact_dedup, lang_id, mixing, near_dedup, quality, token_counts, token_files, topk
+from wardstone.llm import _bytes, _pieces, bpe, chat, components, exact_dedup, lang_id, mixing, near_dedup, quality, token_counts, token_files, topk
 
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
 LONG = "word and another " * 20_000
@@ -132,6 +133,79 @@ def test_near_very_long_texts(spark):
     assert {i: g.component_id for i, g in got.items()} == {5: 3, 3: 3, 4: 4, 6: 6, 7: 6}
 
 
+def _unlucky():
+    """A text, and one with 34 further words (similarity 200/234) chosen so that nearly every MinHash symbol differs."""
+    r = random.Random(3)
+    text = [f"w{r.randint(0, 50000)}" for _ in range(204)]
+    sign = lambda w: near_dedup.signature(next(_bytes.shingles(*_bytes.buffers(pa.array([" ".join(w)])))))
+    lowest = np.uint64(sum(1 << (near_dedup.BITS * k) for k in range(near_dedup.PER_CHUNK)))
+
+    def differing(x, y):
+        d = (x ^ y).view(np.uint64)
+        for bits in (6, 3, 1, 1):
+            d |= d >> np.uint64(bits)
+        return np.bitwise_count(d & lowest)
+
+    own, more = sign(text), list(text)
+    for _ in range(34):
+        more.append(max((f"x{r.randint(0, 50000)}" for _ in range(60)), key=lambda w: int(np.minimum(differing(own, sign([*more, w])), 2).sum())))
+    return " ".join(text), " ".join(more), differing(own, sign(more))
+
+
+def test_near_links_pairs_whatever_their_symbols(spark):
+    a, b, counts = _unlucky()
+    assert counts.sum() > 35 and (counts[: near_dedup.INDEXED] > 1).all()
+    (c, _), (c2, _) = _near_copies(2)
+    more = [" ".join([*a.split(), *(f"y{k}" for k in range(36))])]
+    df = spark.createDataFrame(list(enumerate([b, a, c, c2, *more])), "doc_id long, text string")
+    want, _ = _components([b, a, c, c2, *more], 85)
+    got = by_id(near_dedup.groups(df))
+    assert want[:4] == [0, 0, 2, 2] and [got[i].component_id for i in range(5)] == want
+
+
+@pytest.mark.parametrize("percent", [66, 80, 85, 95])
+def test_bins_and_parities_hold_for_every_similar_pair(percent):
+    r = np.random.default_rng(percent)
+    keys = lambda s: set(near_dedup.bins(s, _bytes.mix(s), _bytes.mix(s ^ np.uint64(77)), percent).tolist())
+    for _ in range(1500):
+        both = int(r.integers(1, 60)) if r.random() < 0.7 else int(r.integers(60, 900))
+        out = both * 100 // percent - both
+        left = int(r.integers(0, out + 1))
+        pool = r.integers(0, 2**63, both + out, dtype=np.uint64)
+        x, y = pool[: both + left], np.concatenate([pool[:both], pool[both + left :]])
+        assert near_dedup._similar(np.sort(x), np.sort(y), percent)
+        assert out == 0 or keys(x) & keys(y)
+        turned = int(np.bitwise_count((near_dedup.parities(x) ^ near_dedup.parities(y)).view(np.uint64)).sum())
+        assert turned <= out <= near_dedup.differ(len(x) + len(y), percent)
+        met = len(set(near_dedup.lowest(np.sort(x), percent).tolist()) & set(near_dedup.lowest(np.sort(y), percent).tolist()))
+        assert out == 0 or met >= max(near_dedup.asked(len(x), percent), near_dedup.asked(len(y), percent))
+
+
+def test_bins_dealt_again(monkeypatch):
+    """Sets that leave too many bins empty find each other by further deals, at last by single shingles."""
+    r = np.random.default_rng(2)
+    calls = []
+    for deals in (4, 1):
+        monkeypatch.setattr(near_dedup, "DEALS", deals)
+        for _ in range(3000):
+            pool = r.integers(0, 2**63, 7, dtype=np.uint64)
+            x, y = (near_dedup.bins(s, _bytes.mix(s), _bytes.mix(s ^ np.uint64(77)), 85) for s in (pool[:6], pool))
+            calls.append(len(x) > 3)
+            assert set(x.tolist()) & set(y.tolist())
+    assert any(calls)
+
+
+def test_keys_of_several_owners():
+    r = np.random.default_rng(4)
+    rows = sorted(zip(r.integers(0, 300, 2000).tolist(), r.integers(0, 6, 2000).tolist(), strict=True))
+    rows += [(300, 1)] * 40 + [(301, k // 9) for k in range(40)]
+    owners = {k: {o for q, o in rows if q == k} for k, _ in rows}
+    for size in (1, 2, 7, 5000):
+        batches = [pa.RecordBatch.from_arrays([pa.array([v[c] for v in rows[i : i + size]], pa.int64()) for c in (0, 1)], ["key", "rep"]) for i in range(0, len(rows), size)]
+        got = [tuple(v.values()) for b in near_dedup._shared(iter(batches)) for v in b.to_pylist()]
+        assert sorted(got) == sorted((k, o) for k, found in owners.items() if len(found) > 1 for o in found)
+
+
 def test_signature_guarantee():
     """Signatures that differ in up to 23 of the indexed symbols share a key."""
     r = np.random.default_rng(1)

@@ -1,4 +1,4 @@
-"""Near-duplicate groups: a multi-index Hamming join of MinHash signatures, confirmed on full shingle sets.
+"""Near-duplicate groups: a multi-index Hamming join of MinHash signatures, completed by bins, confirmed on full shingle sets.
 
 A text's set is the distinct five-word shingles (ASCII lower case, ASCII white space). Its signature
 is 120 symbols of b = 12 bits, each the folded minimum of one hash over the set. The first 60 symbols
@@ -7,14 +7,22 @@ pigeonhole principle, a chunk with at most one differing symbol; so each chunk i
 each time with one symbol left out, and every such pair shares one of its 60 keys. (A pair of
 similarity 0.85 differs in nine symbols on average; more than 23 come about once in a million.)
 
-From keys to links, without all pairs of a bucket and without any cap:
+Symbols are a matter of chance, so the rest has an exact index beside it. Sets of similarity t differ in at most
+D = (1 - t) / (1 + t) * (|A| + |B|) shingles. One hash deals the shingles into k > D bins, k by the size of the set; at most D
+bins differ, so some bin holds the same shingles in both, and the digest of a bin's shingles is a key; see bins(). Every
+pair that meets the threshold shares a key of one index or the other; no key is left out and no bucket is capped.
 
-1. Equal sets meet first (one aggregation); only one representative of each goes on.
+From sets to links, without all pairs of a bucket and without any cap:
+
+1. Equal sets meet first (one aggregation); only one representative of each goes on, and only if it can have a partner:
+   similar sets share so many of their smallest fingerprints that a set whose own are found in too few others has none (see
+   lowest()). Both indexes hold what remains.
 2. In each bucket every member is held against one pivot (in several rounds with other pivots, if asked
-   for); pairs whose 120 symbols differ in too many (see far()) are left out, all others are confirmed on
-   the full sets. After that, members of one component need no further comparison.
+   for). Pairs that cannot meet the threshold, by their sizes or by the parities of their shingles (see differ()), are left
+   out, all others are confirmed on the full sets. After that, members of one component need no further comparison.
 3. What is left in a bucket - members of different components - is compared in tiles of bounded size, each
-   pair at the first key that it shares only; a tile gives the links that connect its members.
+   pair at the first symbol key that it shares only, and at bins if it shares none; a tile gives the links that connect
+   its members.
 
 Defined results: null and empty texts, and texts without a word, have an empty set and are linked
 with nothing. Rows without an id form no links (component null, kept). Rows that repeat an id and a set are one
@@ -27,8 +35,10 @@ Other columns, of whatever name, are neither read nor changed.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
+from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +53,16 @@ from .components import components
 
 SYMBOLS, BITS, PER_CHUNK = 120, 12, 5
 CHUNKS = SYMBOLS // PER_CHUNK
-#: Chunks that are indexed at least, and the share of pairs at the very threshold that may share no key.
+#: Chunks that are indexed at least, and the share of pairs at the very threshold that may be left to the bins.
 INDEXED, MISSED = 12, 1e-6
+#: Parities a set is told by, and how often its shingles are dealt anew while too many bins stay empty.
+PARITIES, DEALS = 1024, 4
+#: One in so many of a set's shingles is asked for in other sets.
+ASKED = 20
 
 
 def indexed(percent: int) -> int:
-    """How many chunks are indexed: at least 12, and as many as leave a pair of just that similarity without a key
+    """How many chunks are indexed: at least 12, and as many as leave a pair of just that similarity to the bins
     less often than once in a million (at 85: 4 in 10^10; at 80: once in 10^7)."""
     q = 1 - percent / 100
     kept = (1 - q) ** PER_CHUNK + PER_CHUNK * q * (1 - q) ** (PER_CHUNK - 1)
@@ -58,12 +72,88 @@ def indexed(percent: int) -> int:
     raise ValueError(f"a similarity of {percent} % is too low for this index")
 
 
-def far(percent: int) -> int:
-    """Pairs that differ in more of all 120 symbols are left out: the number expected at that similarity and 4.6 deviations."""
-    q = 1 - percent / 100
-    return round(SYMBOLS * q + 4.6 * (SYMBOLS * q * (1 - q)) ** 0.5)
+def differ(total, percent: int):
+    """In how many shingles two sets of that similarity, of ``total`` shingles together, can differ at most.
+
+    Each shingle that differs turns one parity, so sets whose parities differ in more cannot be that similar.
+    """
+    return total - 2 * -(-percent * total // (100 + percent))
+
+
+def lowest(grams: np.ndarray, percent: int) -> np.ndarray:
+    """The smallest fingerprints of a sorted set: as many as may differ, and one in 20 more.
+
+    If two sets of n and m share c >= percent of each, the first j that they share are among the smallest n - c + j and m - c + j.
+    So a set with a partner finds one in 20 of the smaller one's number, and one more, in other sets' smallest; see asked().
+    """
+    n = len(grams)
+    fewest = -(-percent * n // 100)
+    return grams[: n - fewest + 1 + n // ASKED] if fewest < n or 100 * n // percent > n else grams[:0]
+
+
+def asked(n, percent: int):
+    """In how many of its smallest fingerprints a set of n (number or Column) that has a partner meets other sets at least."""
+    hundredths = percent * n + 99
+    return 1 + (hundredths - hundredths % (100 * ASKED)) / (100 * ASKED)
+
+
+_LOWS = [1]
 
 
+def _low(n: int) -> int:
+    """The smallest size of the class that n belongs to; a class's largest is 5/4 of its smallest."""
+    while _LOWS[-1] <= n:
+        _LOWS.append(_LOWS[-1] * 5 // 4 + 1)
+    return _LOWS[bisect_right(_LOWS, n) - 1]
+
+
+@lru_cache(maxsize=None)
+def _dealt(low: int, percent: int) -> tuple[int, int]:
+    """(bins, most bins that differ) for pairs whose larger set is of that class: enough bins that seldom too many are empty."""
+    most, least = 2 * (low * 5 // 4) * (100 - percent) // (100 + percent), -(-percent * low // 100)
+    k = most + 2
+    while k < 8 * low:
+        none, one = exp(-least / k), least / k * exp(-least / k)
+        if k - most > k * none + 3 * (k * none * (1 - none - one)) ** 0.5:
+            break
+        k += 1
+    return k, most
+
+
+def bins(grams: np.ndarray, first: np.ndarray, second: np.ndarray, percent: int) -> np.ndarray:
+    """The keys of a set's bins, for partners at least as large and for those of its class.
+
+    Of k bins at most ``most`` differ, so a set with more than ``most`` bins that aren't empty shares one of these with each
+    partner. A set with fewer is dealt again by another hash, for partners that have too few as well; if all deals fail, each
+    of its shingles is a key. Sets whose partners can only be equal (these have met before) have no keys.
+    ``first`` and ``second`` are two hashes of the shingles.
+    """
+    out = []
+    low = _low(max(1, len(grams)))
+    while low <= 100 * len(grams) // percent:
+        (k, most), this, low = _dealt(low, percent), low, low * 5 // 4 + 1
+        if not most:
+            continue
+        for deal in range(DEALS):
+            h = mix(grams ^ mix(np.array([2001 + deal], np.uint64))) if deal else first
+            digest = np.zeros(k, np.uint64)
+            np.add.at(digest, ((h >> U64(32)) * U64(k) >> U64(32)).astype(np.int64), second)
+            full = np.flatnonzero(digest)
+            out.append(mix(digest[full] ^ mix(full.astype(np.uint64) + U64((this * (DEALS + 1) + deal) << 32))))
+            if len(full) > most:
+                break
+        else:
+            out.append(mix(second ^ mix(np.array([(this * (DEALS + 1) + DEALS) << 32], np.uint64))))
+    return np.concatenate(out) | U64(1) if out else np.zeros(0, np.uint64)
+
+
+def parities(grams: np.ndarray) -> np.ndarray:
+    """For each of 1,024 classes of shingles whether the set holds an odd number of them, as packed bits."""
+    odd = np.bincount((mix(grams) >> U64(54)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+_SECOND = U64(0x5851F42D4C957F2D)
 _A = (mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(1001, SYMBOLS + 1001, dtype=np.uint64)) >> U64(32)).astype(np.uint32)
 
@@ -78,29 +168,49 @@ def signature(grams: np.ndarray) -> np.ndarray:
     return (s << (np.arange(PER_CHUNK, dtype=np.uint64) * U64(BITS))).sum(axis=1, dtype=np.uint64).astype(np.int64)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (id, n_shingles, h1, h2, sig)."""
+def _sign(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> (id, n_shingles, h1, h2, lowest)."""
     for batch in batches:
         data, off = buffers(batch.column(1))
         for i, j in blocks(off):
-            part = data[off[i] : off[j]]
-            n, h1, h2, sig = [], [], [], []
-            for grams in shingles(part, off[i : j + 1] - off[i]):
-                n.append(len(grams))
-                h1.append(mix(grams).sum(dtype=np.uint64))
-                h2.append(mix(grams ^ U64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
-                sig.append(signature(grams) if len(grams) else np.zeros(CHUNKS, np.int64))
-            flat = pa.array(np.concatenate(sig))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(i, j - i),
-                    pa.array(n, pa.int64()),
-                    pa.array(np.array(h1, np.uint64).view(np.int64)),
-                    pa.array(np.array(h2, np.uint64).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * CHUNKS + 1, CHUNKS, dtype=np.int32)), flat),
-                ],
-                ["id", "n", "h1", "h2", "sig"],
-            )
+            found = list(shingles(data[off[i] : off[j]], off[i : j + 1] - off[i]))
+            low = _lists([lowest(g, percent) for g in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *_named(found), low], ["id", "n", "h1", "h2", "lowest"])
+
+
+def _named(found: list[np.ndarray]) -> list[pa.Array]:
+    """What names a set in the table of equal sets: its size and two sums."""
+    h1 = np.array([mix(g).sum(dtype=np.uint64) for g in found], np.uint64).view(np.int64)
+    h2 = np.array([mix(g ^ _SECOND).sum(dtype=np.uint64) for g in found], np.uint64).view(np.int64)
+    return [pa.array([len(g) for g in found], pa.int64()), pa.array(h1), pa.array(h2)]
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).view(np.int64)))
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, rep, ...) sorted by key and rep -> one for each key and rep, of the keys that have several reps."""
+    last, given = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+        key, rep = (rows.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+        at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (rep[1:] != rep[:-1])]))
+        same = key[at[1:]] == key[at[:-1]]
+        give = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        known, give[0] = given, give[0] and not given
+        yield rows.take(pa.array(at[give]))
+        last, given = rows.slice(int(at[-1]), 1), bool(give[-1] or (known and len(at) == 1))
+
+
+def _marked(marks: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (..., at) whose bit is set, without at."""
+    for batch in batches:
+        at = batch.column(batch.num_columns - 1).to_numpy()
+        yield batch.filter(pa.array((marks[at >> 6] >> (at & 63)) & 1 == 1)).select(list(range(batch.num_columns - 1)))
 
 
 def _index(chunks: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +222,7 @@ def _index(chunks: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             part = batch.slice(k, 2000)
             n = part.num_rows
             sig = part.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(n, CHUNKS)[:, :chunks]
-            keys = mix((sig[:, :, None] & hole).reshape(n, -1) ^ (place << U64(60)) ^ mix(place + U64(1)))
+            keys = mix((sig[:, :, None] & hole).reshape(n, -1) ^ (place << U64(60)) ^ mix(place + U64(1))) & ~U64(1)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(keys.reshape(-1).view(np.int64)),
@@ -123,25 +233,31 @@ def _index(chunks: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (id, set): the sorted fingerprints as bytes."""
-    for batch in batches:
+def _packed(percent: int, found: list[np.ndarray]) -> list[pa.Array]:
+    """Sets as sorted fingerprints in bytes, their parities, signatures and bins."""
+    sig = [signature(g) if len(g) else np.zeros(CHUNKS, np.int64) for g in found]
+    keys = [bins(g, mix(g), mix(g ^ _SECOND), percent) for g in found]
+    return [pa.array([g.tobytes() for g in found], pa.binary()), _lists([parities(g) for g in found]), _lists(sig), _lists(keys)]
+
+
+def _sets(percent: int, marks: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text, at) -> (id, n, set, odd, sig, bins) of marked rows."""
+    for batch in _marked(marks, batches):
         data, off = buffers(batch.column(1))
         for i, j in blocks(off):
-            found = [g.tobytes() for g in shingles(data[off[i] : off[j]], off[i : j + 1] - off[i])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(found, pa.binary())], ["rep", "set"])
+            found = list(shingles(data[off[i] : off[j]], off[i : j + 1] - off[i]))
+            size = pa.array([len(g) for g in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), size, *_packed(percent, found)], ["rep", "n", "set", "odd", "sig", "bins"])
 
 
-def _hashed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (id, n, h1, h2, set): the sets with what names them in the table of equal sets."""
-    for batch in batches:
+def _hashed_sets(percent: int, marks: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text, at) -> (id, n, h1, h2, set, odd, sig, bins) of marked rows: with what names sets in the table of equal ones."""
+    for batch in _marked(marks, batches):
         data, off = buffers(batch.column(1))
         for i, j in blocks(off):
             found = list(shingles(data[off[i] : off[j]], off[i : j + 1] - off[i]))
-            h1 = np.array([mix(g).sum(dtype=np.uint64) for g in found], np.uint64).view(np.int64)
-            h2 = np.array([mix(g ^ U64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for g in found], np.uint64).view(np.int64)
-            sets = pa.array([g.tobytes() for g in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(g) for g in found], pa.int64()), pa.array(h1), pa.array(h2), sets], ["id", "n", "h1", "h2", "set"])
+            columns = [batch.column(0).slice(i, j - i), *_named(found), *_packed(percent, found)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "h1", "h2", "set", "odd", "sig", "bins"])
 
 
 def _confirm(percent: int):
@@ -155,22 +271,17 @@ def _confirm(percent: int):
     return confirm
 
 
-def _counts(x: str, y: str) -> Column:
-    """For each chunk, how many of its five symbols differ: each symbol's bits are folded to its lowest."""
-    d = F.zip_with(x, y, lambda a, b: a.bitwiseXOR(b))
-    fold = lambda k: lambda v: v.bitwiseOR(F.shiftrightunsigned(v, k))
-    for k in (6, 3, 1, 1):
-        d = F.transform(d, fold(k))
-    return F.transform(d, lambda v: F.bit_count(v.bitwiseAND(F.lit(sum(1 << (BITS * i) for i in range(PER_CHUNK))))))
-
+def _may(x: str, y: str, n: str, m: str, percent: int) -> Column:
+    """Whether sets of n and m shingles can be that similar, by their sizes and their parities x and y."""
+    total, turned = F.col(n) + F.col(m), F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    both = F.floor((percent * total + 99 + percent) / F.lit(100 + percent))
+    sizes = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    return sizes & (F.aggregate(turned, F.lit(0), lambda c, v: c + v) <= total - 2 * both)
 
-def _near(x: str, y: str, most: int) -> Column:
-    """Whether two signatures differ in few symbols."""
-    return F.aggregate(_counts(x, y), F.lit(0), lambda n, v: n + v) <= most
 
-
-def _pairs(place: np.ndarray, rep: np.ndarray, label: np.ndarray, block: np.ndarray, sig: np.ndarray, cross: bool, most: int):
-    """Of one tile, the index pairs of different components whose signatures are near and that share no key before this one."""
+def _pairs(place: np.ndarray, rep: np.ndarray, label: np.ndarray, block: np.ndarray, n: np.ndarray, odd: np.ndarray, sig: np.ndarray, cross: bool, percent: int):
+    """Of one tile, the index pairs of different components that may be similar enough and share no symbol key before this one
+    (in a tile of a bin: none at all)."""
     order = np.argsort(block, kind="stable")
     cut = int((block[order] == block.min()).sum()) if cross else len(order)
     left, right = order[:cut], order[cut:] if cross else order
@@ -178,17 +289,20 @@ def _pairs(place: np.ndarray, rep: np.ndarray, label: np.ndarray, block: np.ndar
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     apart = label[left][:, None] != label[right][None, :]
     apart &= rep[left][:, None] < rep[right][None, :] if not cross else rep[left][:, None] != rep[right][None, :]
+    apart &= 100 * np.minimum(n[left][:, None], n[right][None, :]) >= percent * np.maximum(n[left][:, None], n[right][None, :])
     i, j = np.nonzero(apart)
+    chunk, hole = divmod(int(place[0]), PER_CHUNK) if place[0] >= 0 else (sig.shape[1], 0)
+    lowest = np.uint64(sum(1 << (BITS * p) for p in range(PER_CHUNK)))
     out = []
     for k in range(0, len(i), 1 << 16):
         x, y = left[i[k : k + (1 << 16)]], right[j[k : k + (1 << 16)]]
+        may = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1, dtype=np.int64) <= differ(n[x] + n[y], percent)
+        x, y = x[may], y[may]
         d = sig[x] ^ sig[y]
         for bits in (6, 3, 1, 1):
             d |= d >> bits
-        lowest = np.uint64(sum(1 << (BITS * p) for p in range(PER_CHUNK)))
         c = np.bitwise_count(d & lowest)
-        chunk, hole = int(place[0]) // PER_CHUNK, int(place[0]) % PER_CHUNK
-        ok = (c.sum(axis=1, dtype=np.int64) <= most) & (c[:, :chunk] > 1).all(axis=1)
+        ok = (c[:, :chunk] > 1).all(axis=1)
         if hole:
             ok &= c[:, chunk] == 1
         out.append((x[ok], y[ok]))
@@ -219,7 +333,7 @@ def _whole_tiles(batches: Iterator[pa.RecordBatch], least: int = 4096) -> Iterat
         yield rest.combine_chunks()
 
 
-def _tiles(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tiles(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The members of each tile that have a candidate partner in it: (key, i, j, at, rep, partners).
 
     ``at`` numbers a tile's members; partners are numbers of members that come later.
@@ -227,10 +341,10 @@ def _tiles(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for t in _whole_tiles(batches):
         i_, j_ = (t.column(c).to_numpy() for c in ("i", "j"))
         place, rep, label, block = (t.column(c).to_numpy() for c in ("place", "rep", "label", "block"))
-        sig = t.column("s").combine_chunks().flatten().to_numpy().reshape(-1, CHUNKS).view(np.uint64)
+        n, odd, sig = t.column("n").to_numpy(), *(t.column(c).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1).view(np.uint64) for c in ("odd", "s"))
         rows, at, partners = [], [], []
         for a, b in _runs(t, ("key", "i", "j")):
-            x, y = _pairs(place[a:b], rep[a:b], label[a:b], block[a:b], sig[a:b], bool(i_[a] != j_[a]), most)
+            x, y = _pairs(place[a:b], rep[a:b], label[a:b], block[a:b], n[a:b], odd[a:b], sig[a:b], bool(i_[a] != j_[a]), percent)
             if not len(x):
                 continue
             x, y = np.minimum(x, y), np.maximum(x, y)
@@ -294,11 +408,14 @@ class _Links:
         self.sets, self.kind, self.percent, self.found = sets, kind, percent, []
 
     def confirm(self, pairs: DataFrame) -> bool:
-        b = self.sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b"))
-        a = self.sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a"))
+        pairs = written(pairs, "near")
+        b = _among(self.sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), pairs, "b")
+        a = _among(self.sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), pairs, "a")
         rows = pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b")
         schema = T.StructType([T.StructField("a", self.kind), T.StructField("b", self.kind)])
-        return self.keep(rows.mapInArrow(_confirm(self.percent), schema))
+        found = self.keep(rows.mapInArrow(_confirm(self.percent), schema))
+        drop(pairs)
+        return found
 
     def keep(self, links: DataFrame) -> bool:
         links = written(links, "links")
@@ -326,30 +443,38 @@ def groups(docs: DataFrame, text: str = "text", row_id: str = "doc_id", percent:
     kind = docs.schema["id"].dataType
     field = lambda name, t: T.StructField(name, t)
     long = T.LongType()
-    signed = T.StructType([field("id", kind), field("n", long), field("h1", long), field("h2", long), field("sig", T.ArrayType(long))])
-    prep = written(docs.mapInArrow(_sign, signed), "signatures")
+    signed = T.StructType([field("id", kind), field("n", long), field("h1", long), field("h2", long), field("lowest", T.ArrayType(long))])
+    whole = written(docs.mapInArrow(partial(_sign, percent), signed), "smallest")
+    prep = written(whole.select("id", "n", "h1", "h2"), "named")
 
-    equal = written(prep.filter("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "sets")
+    equal = written(prep.filter("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep")), "sets")
     several = not unique(prep.filter("n > 0 AND id IS NOT NULL"), "id")
     if several:
         equal = written(equal.withColumnRenamed("rep", "owner").sort("owner", "h1", "h2", "n").withColumn("rep", F.monotonically_increasing_id()), "sets")
         kind = long
-    reps = equal.groupBy("rep").agg(F.min_by("sig", "h1").alias("sig"))
-    members = reps.mapInArrow(partial(_index, chunks), T.StructType([field("key", long), field("place", T.IntegerType()), field("rep", kind)]))
-    shared = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    buckets = written(members.join(shared.select("key"), "key"), "buckets")
 
-    involved = written(buckets.select("rep").distinct(), "involved")
-    signs = written(equal.groupBy("rep").agg(F.min_by("sig", "h1").alias("s"), F.min_by("n", "h1").alias("n")).join(involved, "rep"), "involved-signs")
+    low = whole.filter("n > 0 AND id IS NOT NULL").select(F.explode("lowest").alias("key"), F.col("h1").alias("rep"))
+    met = _several(low).groupBy(F.col("rep").alias("h1")).agg(F.count("*").alias("met"))
+    involved = equal.join(met, "h1").filter(F.col("met") >= asked(F.col("n"), percent))
+    involved = written(involved.select("rep", *(["h1", "h2", "n", "owner"] if several else [])), "involved")
+    drop(whole)
+
+    packed = [field("set", T.BinaryType()), *(field(c, T.ArrayType(long)) for c in ("odd", "sig", "bins"))]
+    # Texts are not shuffled: a bit tells an involved id. Others that meet one by chance have no partner, or their equal's.
+    marks = _marks(involved, "owner" if several else "rep")
+    texts = docs.filter("id IS NOT NULL").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(64 * len(marks))).alias("at"))
     if several:
-        nodes = equal.join(involved, "rep").select(F.col("owner").alias("id"), "n", "h1", "h2", "rep")
-        texts = docs.join(nodes.select("id").distinct(), "id", "left_semi")
-        sets = texts.mapInArrow(_hashed_sets, T.StructType([field("id", docs.schema["id"].dataType), field("n", long), field("h1", long), field("h2", long), field("set", T.BinaryType())]))
-        sets = sets.join(nodes, ["id", "n", "h1", "h2"]).groupBy("rep").agg(F.min("set").alias("set"))
+        nodes = involved.withColumnRenamed("owner", "id")
+        sets = texts.mapInArrow(partial(_hashed_sets, percent, marks), T.StructType([field("id", docs.schema["id"].dataType), field("n", long), field("h1", long), field("h2", long), *packed]))
+        sets = sets.join(nodes, ["id", "n", "h1", "h2"]).groupBy("rep").agg(F.min("n").alias("n"), F.min("set").alias("set"), *(F.min_by(c, "set").alias(c) for c in ("odd", "sig", "bins")))
     else:
-        texts = docs.filter("id IS NOT NULL").join(involved, docs.id == involved.rep, "left_semi")
-        sets = texts.mapInArrow(_sets, T.StructType([field("rep", kind), field("set", T.BinaryType())]))
+        sets = texts.mapInArrow(partial(_sets, percent, marks), T.StructType([field("rep", kind), field("n", long), *packed]))
     sets = written(sets, "involved-sets")
+    signs = written(sets.select("rep", "n", "odd", F.slice("sig", 1, chunks).alias("s")), "involved-signs")
+
+    members = sets.select("rep", "sig").mapInArrow(partial(_index, chunks), T.StructType([field("key", long), field("place", T.IntegerType()), field("rep", kind)]))
+    dealt = sets.select(F.explode("bins").alias("key"), "rep", F.lit(-1).alias("place"))
+    buckets = written(_several(members.select("key", "rep", "place").union(dealt)), "buckets")
 
     links, labels, live = _Links(sets, kind, percent), None, buckets
     for r in range(rounds):
@@ -358,8 +483,9 @@ def groups(docs: DataFrame, text: str = "text", row_id: str = "doc_id", percent:
         pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
         if labels is not None:
             pairs = _apart(pairs, labels)
-        near = pairs.join(signs.select(F.col("rep").alias("b"), F.col("s").alias("t")), "b").join(signs.select(F.col("rep").alias("a"), "s"), "a")
-        near = near.filter(_near("s", "t", far(percent))).select("a", "b")
+        near = pairs.join(signs.select(F.col("rep").alias("b"), F.col("odd").alias("y"), F.col("n").alias("m")), "b")
+        near = near.join(signs.select(F.col("rep").alias("a"), F.col("odd").alias("x"), "n"), "a")
+        near = near.filter(_may("x", "y", "n", "m", percent)).select("a", "b")
         if links.confirm(near):
             drop(*([labels] if labels is not None else []))
             labels = links.labels()
@@ -394,6 +520,28 @@ def groups(docs: DataFrame, text: str = "text", row_id: str = "doc_id", percent:
     )
 
 
+def _several(rows: DataFrame) -> DataFrame:
+    """The different rows (key, rep, ...) of keys that have several reps, by one sort."""
+    return rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_shared, rows.schema)
+
+
+def _marks(ids: DataFrame, name: str) -> np.ndarray:
+    """A bit for each id, by its hash; 16 times as many bits as ids, up to 32 MB."""
+    words = min(1 << 22, 1 + ids.count() // 4)
+    at = ids.select(F.pmod(F.xxhash64(name), F.lit(64 * words)).alias("at"))
+    rows = at.groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toArrow()
+    marks = np.zeros(words, np.int64)
+    marks[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return marks
+
+
+def _among(table: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """The rows of a table whose id is marked, so that a join need not move all others (few unmarked ones stay)."""
+    marks = _marks(ids, name)
+    rows = table.withColumn("at", F.pmod(F.xxhash64(name), F.lit(64 * len(marks))))
+    return rows.mapInArrow(partial(_marked, marks), table.schema)
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs that no link joins so far."""
     la = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
@@ -414,7 +562,7 @@ def _live(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _left(live: DataFrame, signs: DataFrame, sets: DataFrame, kind: T.DataType, percent: int) -> DataFrame:
-    """Links between members of one bucket that are in different components: candidates are near by all symbols.
+    """Links between members of one bucket that are in different components: candidates may be similar by sizes and parities.
 
     A bucket is dealt into blocks of some 1,024 members and a million shingles, and each pair of blocks is a tile.
     First the tiles' members meet with their signatures; those that have a candidate partner (each pair counts at
@@ -427,13 +575,13 @@ def _left(live: DataFrame, signs: DataFrame, sets: DataFrame, kind: T.DataType,
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    rows = rows.select("key", "i", "j", "place", "rep", "label", "block").join(signs.select("rep", "s"), "rep")
-    rows = rows.select("key", "i", "j", "place", "rep", "label", "block", "s")
+    rows = rows.select("key", "i", "j", "place", "rep", "label", "block").join(signs, "rep")
+    rows = rows.select("key", "i", "j", "place", "rep", "label", "block", "n", "odd", "s")
     tiles = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
     whole, number = T.LongType(), T.IntegerType()
     schema = T.StructType([field("key", whole), field("i", number), field("j", number), field("at", number), field("rep", kind), field("partners", T.BinaryType())])
-    members = written(tiles.mapInArrow(partial(_tiles, far(percent)), schema), "candidates")
-    full = members.join(sets, "rep").select("key", "i", "j", "at", "rep", "partners", "set")
+    members = written(tiles.mapInArrow(partial(_tiles, percent), schema), "candidates")
+    full = members.join(_among(sets.select("rep", "set"), members, "rep"), "rep").select("key", "i", "j", "at", "rep", "partners", "set")
     full = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "at")
     return full.mapInArrow(partial(_confirm_tiles, percent), T.StructType([field("a", kind), field("b", kind)]))
 
