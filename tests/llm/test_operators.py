@@ -181,6 +181,45 @@ def test_bins_and_parities_hold_for_every_similar_pair(percent):
         assert out == 0 or met >= max(near_dedup.asked(len(x), percent), near_dedup.asked(len(y), percent))
 
 
+@pytest.mark.parametrize("percent", [66, 80, 85, 95])
+def test_wide_parities_hold_for_every_similar_pair_and_part_others(percent):
+    r = np.random.default_rng(percent)
+    for both in (900, 1020, 1500, 1990, 2040, 4090, 9000):
+        out = both * 100 // percent - both
+        for left in (0, out // 2, out):
+            pool = r.integers(0, 2**63, both + out, dtype=np.uint64)
+            x, y = np.sort(pool[: both + left]), np.sort(np.concatenate([pool[:both], pool[both + left :]]))
+            odd = [near_dedup.wide(s).view(np.uint64) for s in (x, y)]
+            assert near_dedup._similar(x, y, percent) and near_dedup._nearer(*odd, len(x) + len(y), percent) and near_dedup._nearer(*odd[::-1], len(x) + len(y), percent)
+    x, y = (np.sort(r.integers(0, 2**63, n, dtype=np.uint64)) for n in (9000, 8600))
+    assert not near_dedup._nearer(*(near_dedup.wide(s).view(np.uint64) for s in (x, y)), 17_600, percent)
+
+
+def test_sets_are_moved_for_pairs_that_are_nearly_similar(spark, monkeypatch):
+    """Long texts that share passages share bins, and 1,024 parities don't tell them apart; their sets stay where they are."""
+    r = random.Random(8)
+    word = lambda: f"w{r.randint(0, 10**9)}"
+    passages = [[word() for _ in range(60)] for _ in range(20)]
+    texts = []
+    for _ in range(16):
+        parts = [*passages, *([word() for _ in range(140)] for _ in range(20))]
+        r.shuffle(parts)
+        texts.append([w for p in parts for w in p])
+    texts.append([*texts[3][:-90], *(word() for _ in range(90))])
+    made, moved, among = [" ".join(t) for t in texts], [], near_dedup._among
+
+    def counted(table, ids, name):
+        if any(c.startswith("set") for c in table.columns):
+            moved.append(ids.count())
+        return among(table, ids, name)
+
+    monkeypatch.setattr(near_dedup, "_among", counted)
+    want, size = _components(made, 85)
+    got = by_id(near_dedup.groups(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")))
+    assert want[16] == 3 and [(got[i].component_id, got[i].n_shingles) for i in range(17)] == list(zip(want, size, strict=True))
+    assert 2 <= sum(moved) <= 4
+
+
 def test_bins_dealt_again(monkeypatch):
     """Sets that leave too many bins empty find each other by further deals, at last by single shingles."""
     r = np.random.default_rng(2)

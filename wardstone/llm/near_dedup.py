@@ -20,6 +20,8 @@ From sets to links, without all pairs of a bucket and without any cap:
 2. In each bucket every member is held against one pivot (in several rounds with other pivots, if asked
    for). Pairs that cannot meet the threshold, by their sizes or by the parities of their shingles (see differ()), are left
    out, all others are confirmed on the full sets. After that, members of one component need no further comparison.
+   Parities are 1,024 for all sets, and for pairs of larger sets, which these don't tell apart, as many as the sets have
+   shingles; so full sets are moved for pairs that are nearly similar enough.
 3. What is left in a bucket - members of different components - is compared in tiles of bounded size, each
    pair at the first symbol key that it shares only, and at bins if it shares none; a tile gives the links that connect
    its members.
@@ -147,12 +149,28 @@ def bins(grams: np.ndarray, first: np.ndarray, second: np.ndarray, percent: int)
     return np.concatenate(out) | U64(1) if out else np.zeros(0, np.uint64)
 
 
-def parities(grams: np.ndarray) -> np.ndarray:
-    """For each of 1,024 classes of shingles whether the set holds an odd number of them, as packed bits."""
-    odd = np.bincount((mix(grams) >> U64(54)).astype(np.int64), minlength=PARITIES) & 1
+def parities(grams: np.ndarray, many: int = PARITIES) -> np.ndarray:
+    """For each of 1,024 (or another power of two) classes of shingles whether the set holds an odd number of them, as packed bits."""
+    odd = np.bincount((mix(grams) & U64(many - 1)).astype(np.int64), minlength=many) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide(grams: np.ndarray) -> np.ndarray:
+    """A set's parities for at least as many classes as it has shingles; none if those are the 1,024 that each set has."""
+    return parities(grams, 1 << (len(grams) - 1).bit_length()) if len(grams) > PARITIES else np.zeros(0, np.int64)
+
+
+def _nearer(x: np.ndarray, y: np.ndarray, total: int, percent: int) -> bool:
+    """Whether sets of ``total`` shingles together can be that similar by their wide parities."""
+    if not len(x) or not len(y):
+        return True
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):  # a class of half as many is two of these
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) <= differ(total, percent)
+
+
 _SECOND = U64(0x5851F42D4C957F2D)
 _A = (mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(1001, SYMBOLS + 1001, dtype=np.uint64)) >> U64(32)).astype(np.uint32)
@@ -234,30 +252,31 @@ def _index(chunks: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 
 def _packed(percent: int, found: list[np.ndarray]) -> list[pa.Array]:
-    """Sets as sorted fingerprints in bytes, their parities, signatures and bins."""
+    """Sets as sorted fingerprints in bytes, their parities, signatures, bins and wide parities."""
     sig = [signature(g) if len(g) else np.zeros(CHUNKS, np.int64) for g in found]
     keys = [bins(g, mix(g), mix(g ^ _SECOND), percent) for g in found]
-    return [pa.array([g.tobytes() for g in found], pa.binary()), _lists([parities(g) for g in found]), _lists(sig), _lists(keys)]
+    sets, more = (pa.array([f(g).tobytes() for g in found], pa.binary()) for f in (np.asarray, wide))
+    return [sets, _lists([parities(g) for g in found]), _lists(sig), _lists(keys), more]
 
 
 def _sets(percent: int, marks: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, at) -> (id, n, set, odd, sig, bins) of marked rows."""
+    """(id, text, at) -> (id, n, set, odd, sig, bins, wide) of marked rows."""
     for batch in _marked(marks, batches):
         data, off = buffers(batch.column(1))
         for i, j in blocks(off):
             found = list(shingles(data[off[i] : off[j]], off[i : j + 1] - off[i]))
             size = pa.array([len(g) for g in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), size, *_packed(percent, found)], ["rep", "n", "set", "odd", "sig", "bins"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), size, *_packed(percent, found)], ["rep", "n", "set", "odd", "sig", "bins", "wide"])
 
 
 def _hashed_sets(percent: int, marks: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, at) -> (id, n, h1, h2, set, odd, sig, bins) of marked rows: with what names sets in the table of equal ones."""
+    """(id, text, at) -> (id, n, h1, h2, set, odd, sig, bins, wide) of marked rows: with what names sets in the table of equal ones."""
     for batch in _marked(marks, batches):
         data, off = buffers(batch.column(1))
         for i, j in blocks(off):
             found = list(shingles(data[off[i] : off[j]], off[i : j + 1] - off[i]))
             columns = [batch.column(0).slice(i, j - i), *_named(found), *_packed(percent, found)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "h1", "h2", "set", "odd", "sig", "bins"])
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "h1", "h2", "set", "odd", "sig", "bins", "wide"])
 
 
 def _confirm(percent: int):
@@ -271,6 +290,15 @@ def _confirm(percent: int):
     return confirm
 
 
+def _nearer_pairs(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, n, m, wide_a, wide_b) -> the pairs that can be similar enough by their wide parities."""
+    for batch in batches:
+        total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+        odd = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in (4, 5))
+        keep = [_nearer(x, y, t, percent) for x, y, t in zip(*odd, total.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _may(x: str, y: str, n: str, m: str, percent: int) -> Column:
     """Whether sets of n and m shingles can be that similar, by their sizes and their parities x and y."""
     total, turned = F.col(n) + F.col(m), F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b)))
@@ -362,6 +390,25 @@ def _tiles(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(at).astype(np.int32)), reps, pa.array(partners, pa.binary())], ["key", "i", "j", "at", "rep", "partners"])
 
 
+def _nearer_tiles(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of tiles with their sizes and wide parities -> those that keep a partner, as of _tiles()."""
+    for t in _whole_tiles(batches, 256):
+        at, n, partners = t.column("at").to_numpy(), t.column("n").to_numpy(), t.column("partners").to_pylist()
+        odd = [np.frombuffer(v, np.uint64) for v in t.column("wide").to_pylist()]
+        kept = np.zeros(t.num_rows, bool)
+        for a, b in _runs(t, ("key", "i", "j")):
+            for k in range(a, b):
+                later = np.frombuffer(partners[k], np.int32)
+                place = a + np.searchsorted(at[a:b], later)
+                near = np.array([_nearer(odd[k], odd[m], int(n[k] + n[m]), percent) for m in place], bool)
+                partners[k] = later[near].tobytes()
+                kept[place[near]] = True
+                kept[k] |= near.any()
+        if kept.any():
+            t = t.select(["key", "i", "j", "at", "rep"]).append_column("partners", pa.array(partners, pa.binary()))
+            yield from t.filter(pa.array(kept)).combine_chunks().to_batches()
+
+
 def _confirm_tiles(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members of tiles with their sets -> links that connect what the tile's similar pairs connect.
 
@@ -408,13 +455,17 @@ class _Links:
         self.sets, self.kind, self.percent, self.found = sets, kind, percent, []
 
     def confirm(self, pairs: DataFrame) -> bool:
+        schema = T.StructType([T.StructField("a", self.kind), T.StructField("b", self.kind)])
         pairs = written(pairs, "near")
+        b = _among(self.sets.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("wide").alias("wide_b")), pairs, "b")
+        a = _among(self.sets.select(F.col("rep").alias("a"), "n", F.col("wide").alias("wide_a")), pairs, "a")
+        rows = pairs.join(b, "b").join(a, "a").select("a", "b", "n", "m", "wide_a", "wide_b")
+        pairs, all_pairs = written(rows.mapInArrow(partial(_nearer_pairs, self.percent), schema), "nearer"), pairs
         b = _among(self.sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), pairs, "b")
         a = _among(self.sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), pairs, "a")
         rows = pairs.join(b, "b").join(a, "a").select("a", "b", "set_a", "set_b")
-        schema = T.StructType([T.StructField("a", self.kind), T.StructField("b", self.kind)])
         found = self.keep(rows.mapInArrow(_confirm(self.percent), schema))
-        drop(pairs)
+        drop(pairs, all_pairs)
         return found
 
     def keep(self, links: DataFrame) -> bool:
@@ -459,14 +510,14 @@ def groups(docs: DataFrame, text: str = "text", row_id: str = "doc_id", percent:
     involved = written(involved.select("rep", *(["h1", "h2", "n", "owner"] if several else [])), "involved")
     drop(whole)
 
-    packed = [field("set", T.BinaryType()), *(field(c, T.ArrayType(long)) for c in ("odd", "sig", "bins"))]
+    packed = [field("set", T.BinaryType()), *(field(c, T.ArrayType(long)) for c in ("odd", "sig", "bins")), field("wide", T.BinaryType())]
     # Texts are not shuffled: a bit tells an involved id. Others that meet one by chance have no partner, or their equal's.
     marks = _marks(involved, "owner" if several else "rep")
     texts = docs.filter("id IS NOT NULL").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(64 * len(marks))).alias("at"))
     if several:
         nodes = involved.withColumnRenamed("owner", "id")
         sets = texts.mapInArrow(partial(_hashed_sets, percent, marks), T.StructType([field("id", docs.schema["id"].dataType), field("n", long), field("h1", long), field("h2", long), *packed]))
-        sets = sets.join(nodes, ["id", "n", "h1", "h2"]).groupBy("rep").agg(F.min("n").alias("n"), F.min("set").alias("set"), *(F.min_by(c, "set").alias(c) for c in ("odd", "sig", "bins")))
+        sets = sets.join(nodes, ["id", "n", "h1", "h2"]).groupBy("rep").agg(F.min("n").alias("n"), F.min("set").alias("set"), *(F.min_by(c, "set").alias(c) for c in ("odd", "sig", "bins", "wide")))
     else:
         sets = texts.mapInArrow(partial(_sets, percent, marks), T.StructType([field("rep", kind), field("n", long), *packed]))
     sets = written(sets, "involved-sets")
@@ -566,7 +617,8 @@ def _left(live: DataFrame, signs: DataFrame, sets: DataFrame, kind: T.DataType,
 
     A bucket is dealt into blocks of some 1,024 members and a million shingles, and each pair of blocks is a tile.
     First the tiles' members meet with their signatures; those that have a candidate partner (each pair counts at
-    the first key that it shares) meet again with their sets, tile by tile. No pair is a row.
+    the first key that it shares) meet again with their wide parities, tile by tile, and what is left with their sets.
+    No pair is a row.
     """
     field = lambda name, t: T.StructField(name, t)
     weight = live.join(signs.select("rep", "n"), "rep").groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
@@ -581,6 +633,9 @@ def _left(live: DataFrame, signs: DataFrame, sets: DataFrame, kind: T.DataType,
     whole, number = T.LongType(), T.IntegerType()
     schema = T.StructType([field("key", whole), field("i", number), field("j", number), field("at", number), field("rep", kind), field("partners", T.BinaryType())])
     members = written(tiles.mapInArrow(partial(_tiles, percent), schema), "candidates")
+    odd = members.join(_among(sets.select("rep", "n", "wide"), members, "rep"), "rep").select("key", "i", "j", "at", "rep", "partners", "n", "wide")
+    odd = odd.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "at")
+    members = written(odd.mapInArrow(partial(_nearer_tiles, percent), schema), "nearer")
     full = members.join(_among(sets.select("rep", "set"), members, "rep"), "rep").select("key", "i", "j", "at", "rep", "partners", "set")
     full = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "at")
     return full.mapInArrow(partial(_confirm_tiles, percent), T.StructType([field("a", kind), field("b", kind)]))
